@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
+from . import minhash as _minhash
 from . import packing as _packing
 from . import pii as _pii
+from . import vectors as _vectors
 from .common import table
 
 
@@ -33,6 +35,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, _pii.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash.near_duplicates(table(spark, sf_dir, "documents"), share=(85, 100))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +50,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_vectors": op2_vectors,
+    "op3_minhash": op3_minhash,
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_pii": op8_pii,
