@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
+from . import langid as _langid
 from . import minhash as _minhash
 from . import packing as _packing
 from . import pii as _pii
@@ -35,6 +36,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, _pii.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
+    model = _langid.train_languages(docs.filter(~held).select("doc_id", "text", "lang"))
+    return _langid.predict_languages(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -50,6 +58,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op2_vectors": op2_vectors,
     "op3_minhash": op3_minhash,
     "op5_packing": op5_packing,
