@@ -12,6 +12,7 @@ from . import langid as _langid
 from . import minhash as _minhash
 from . import packing as _packing
 from . import pii as _pii
+from . import quality as _quality
 from . import vectors as _vectors
 from .common import table
 
@@ -28,6 +29,10 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.classify_quality(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _pii.scan_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*_pii.BASE))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality": op7_quality,
     "op8_pii": op8_pii,
 }
 
