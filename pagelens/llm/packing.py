@@ -17,13 +17,19 @@ from .common import rows_of, stored
 
 _SPACE = re.compile(r"[\x1c-\x1f]")
 _MARK = "`"
+# Below U+0180, the letters, numbers and white space of Unicode. There, lower-casing is sign by sign and
+# no two signs compose, so that a text falls into the tokenizer's own pre-tokens with this pattern.
+_L, _N, _W = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+_PRETOKEN = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^{_L}{_N}{_W}]+")
+_BEYOND = re.compile("[\u0130\u0180-\U0010ffff]")
 _encoders: dict = {}
 
 
 class Encoder:
-    """A tokenizer whose ids of white-space-separated words are kept, up to `limit` words.
+    """A tokenizer whose ids of pre-tokens (of words, in other alphabets) are kept, up to `limit` of them.
 
-    Only for tokenizers that drop white space and never merge across it (so a text's ids are those of its words).
+    Only for tokenizers that lower-case, drop white space and split by the pattern of word_bpe_49k.json, so that a
+    text's ids are those of its parts.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -35,9 +41,12 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text as little-endian uint32."""
-        if _SPACE.search(text):  # Python splits there, the tokenizer does not
+        if text.isascii() or not _BEYOND.search(text):
+            words = _PRETOKEN.findall(text.lower())
+        elif _SPACE.search(text):  # Python splits there, the tokenizer does not
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words = (text.lower() if text.isascii() else text).split()
+        else:
+            words = text.split()
         ids = self.ids
         if new := [w for w in set(words) if w not in ids]:
             if len(ids) + len(new) > self.limit:
