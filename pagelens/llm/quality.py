@@ -41,6 +41,7 @@ class Stats:
     length: float  # of a word on average
     stop: float  # of all words
     packed: float  # size after compression
+    bare: float  # single symbols between spaces, for each word
     grams: np.ndarray  # counts of triples of sign classes
 
 
@@ -66,20 +67,26 @@ def stats(text: str) -> Stats:
         sum(map(len, w)) / n,
         sum(map(STOP.__contains__, map(str.lower, w))) / n,
         len(zlib.compress(raw, 1)) / max(1, len(raw)),
+        int(grams[SPACE * 64 + SYMBOL * 8 + SPACE]) / n,
         grams,
     )
 
 
-#: Each votes 0 (bad), 1 (good) or 2 (abstains).
+def _when(known: bool, bad: bool, good: bool) -> int:
+    return 2 if not known else 0 if bad else 1 if good else 2
+
+
+#: Each votes 0 (bad), 1 (good) or 2 (abstains, as all do on texts of under 10 words).
 LABELLERS = {
-    "symbols": lambda s: 0 if s.symbols > 0.06 else 1 if s.symbols < 0.01 and s.words >= 20 else 2,
-    "upper": lambda s: 0 if s.upper > 0.35 and s.words >= 10 else 1 if s.upper < 0.1 and s.words >= 20 else 2,
-    "distinct": lambda s: 0 if s.words >= 50 and s.distinct < min(0.3, 6 / s.words**0.5) else 2,
-    "repeats": lambda s: 0 if s.words >= 20 and s.repeats > 0.15 else 2,
-    "lines": lambda s: 0 if s.lines > 0.5 and s.words >= 50 else 2,
-    "length": lambda s: 0 if s.words >= 20 and not 2.5 <= s.length <= 7.2 else 2,
-    "stop": lambda s: 1 if s.words >= 20 and s.stop >= 0.12 else 2,
-    "packed": lambda s: 0 if s.words >= 50 and s.packed < 0.2 else 1 if s.words >= 50 and s.packed > 0.3 else 2,
+    "symbols": lambda s: _when(s.words >= 10, s.symbols > 0.06, s.symbols < 0.03),
+    "upper": lambda s: _when(s.words >= 10, s.upper > 0.35, s.upper < 0.15),
+    "distinct": lambda s: _when(s.words >= 50, s.distinct < min(0.3, 6 / s.words**0.5), s.distinct > min(0.4, 8 / s.words**0.5)),
+    "repeats": lambda s: _when(s.words >= 20, s.repeats > 0.15, s.repeats < 0.05),
+    "lines": lambda s: _when(s.words >= 50, s.lines > 0.5, s.lines < 0.3),
+    "length": lambda s: _when(s.words >= 20, not 2.5 <= s.length <= 7.2, 3 <= s.length <= 6.5),
+    "stop": lambda s: _when(s.words >= 50, s.stop < 0.01, s.stop >= 0.08),
+    "bare": lambda s: _when(s.words >= 10, s.bare > 0.15, s.bare < 0.05),
+    "packed": lambda s: _when(s.words >= 50, s.packed < 0.2, s.packed > 0.3),
 }
 VOTES = 3
 
@@ -100,7 +107,7 @@ def _votes(codes: np.ndarray) -> np.ndarray:
 def label_model(histogram: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray, float]:
     """Expectation-maximisation (Dawid and Skene 1979) over the histogram of vote patterns.
 
-    Returns the posterior of good for each pattern, the vote probabilities of each labeller by class, and the share of
+    Returns the posterior of good for each pattern, the vote probabilities of each labeller by class among its votes, and the share of
     good. It starts from: bad where any labeller says bad.
     """
     codes = np.array(sorted(histogram), np.int64)
@@ -115,7 +122,8 @@ def label_model(histogram: dict[int, int], rounds: int = 100) -> tuple[dict[int,
         for k in range(votes.shape[1]):
             for c, share in enumerate((1 - good, good)):
                 p[k, c] = np.bincount(votes[:, k], n * share, VOTES) + 0.5
-        p /= p.sum(axis=2, keepdims=True)
+        p /= p[:, :, :2].sum(axis=2, keepdims=True)
+        p[:, :, 2] = 1  # who abstains says nothing
         odds = np.log(prior / (1 - prior)) + sum(np.log(p[k, 1, votes[:, k]] / p[k, 0, votes[:, k]]) for k in range(votes.shape[1]))
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if np.abs(new - good).max() < 1e-9:
@@ -132,6 +140,7 @@ _STEPS = {
     "lines": (0.05, 0.2, 0.35, 0.5, 0.8),
     "length": (2.5, 3.5, 4.5, 5.5, 6.3, 7.2, 9),
     "stop": (0.01, 0.03, 0.06, 0.12, 0.2),
+    "bare": (0.02, 0.05, 0.15, 0.3),
     "packed": (0.05, 0.1, 0.2, 0.3, 0.4, 0.55),
     "words": (3, 10, 20, 50, 200, 1000, 5000),
 }
@@ -181,7 +190,7 @@ def _map(docs: DataFrame, schema: str, row, id_col: str, text_col: str) -> DataF
 def train_quality(docs: DataFrame, *, per_class: int = 1500, bits: int = 12, epochs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fit from the texts alone.
 
-    All rows are voted on and counted by pattern (3^8 rows at most reach the driver). The scorer is fitted on about
+    All rows are voted on and counted by pattern (3^9 rows at most reach the driver). The scorer is fitted on about
     `per_class` rows of either side (the bound of the sample), chosen by a hash of the id, with posteriors as targets.
     """
     codes = stored(_map(docs, "code int", lambda t: (vote(stats(t)),), id_col, text_col), "votes")

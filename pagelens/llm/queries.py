@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
 from . import langid as _langid
+from . import licenses as _licenses
 from . import minhash as _minhash
 from . import packing as _packing
 from . import pii as _pii
@@ -56,6 +57,23 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _minhash.near_duplicates(table(spark, sf_dir, "documents"), share=(85, 100))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document: its licence paragraphs, the confirmed families in order, and the score of the best."""
+    docs = table(spark, sf_dir, "documents")
+    found = _licenses.scan_licenses(docs)
+    each = found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_paragraphs"),
+        F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
+        F.round(F.max("score"), 6).alias("score"),
+    )
+    return docs.select("doc_id").join(each, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"),
+        F.coalesce(F.array_join("families", ","), F.lit("")).alias("families"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_vectors": op2_vectors,
     "op3_minhash": op3_minhash,
+    "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
