@@ -147,6 +147,7 @@ def near_duplicates(
     rows: int = 6,
     margin: float = 0.22,
     star_rounds: int = 4,
+    each: int = 32,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -157,8 +158,8 @@ def near_duplicates(
     1. One pass makes `bands` keys of `rows` MinHash samples each and an odd sketch. Equal sets become one class.
     2. Of each bucket of a key, all members are compared with one pivot, the member that shares most buckets. The
        odd sketch drops pairs below the threshold less `margin` (about five standard deviations); full sets decide.
-    3. Buckets whose members still lie in several components get further pivots (`star_rounds`), then all their
-       pairs across components: a pair is left out only if it is known to be connected. So the components are those
+    3. Where buckets still have members in several components, their pairs across components are compared: at once if
+       there are at most `each` for a member, else after further pivots (`star_rounds` in all). A pair is left out only if it is known to be connected. So the components are those
        of all candidate pairs, without ever making the pairs inside a group of copies.
 
     A pair at the threshold of 0.8 (0.85) shares no bucket with probability 7e-4 (1e-5); use more bands for less.
@@ -178,33 +179,30 @@ def near_duplicates(
     members = stored(members.drop("c").join(weight, "b"), "members")
     texts = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(weight.select(F.col("b").alias("id")), "id", "left_semi"), "texts")
 
-    links, labels = None, None
+    links, labels, at = None, None, members.withColumn("comp", F.col("b"))
     for turn in range(star_rounds + 1):
-        if labels is None:
-            at = members.withColumn("comp", F.col("b"))
-        else:
-            at = members.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("comp", F.coalesce("component", "b")).drop("component")
+        every = False
+        if turn:
+            at = at.drop("comp").join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("comp", F.coalesce("component", "b")).drop("component")
             mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-            at = at.join(mixed, "key")
-            at = stored(at, "mixed")
+            at = stored(at.join(mixed, "key"), "mixed")
             split = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"), F.sum("m").alias("m"))
             left = split.agg(F.sum("p").alias("p"), F.sum("m").alias("m")).first()
             if not left["p"]:
                 break
-            if turn == star_rounds or left["p"] <= 4 * left["m"]:  # all pairs that are left
-                other = at.toDF(*[c if c == "key" else f"o{c}" for c in at.columns])
-                pairs = at.join(other, "key").filter((F.col("comp") < F.col("ocomp")) & _close(hasher, least, "s", "os")).select(F.least("b", "ob").alias("a"), F.greatest("b", "ob").alias("b")).distinct()
-                new = stored(confirmed(pairs, texts, share, size), "links")
-                links = links.union(new)
-                labels = stored(components(links), "labels")
-                break
-        w = F.xxhash64("b", F.lit(turn)) if turn else F.col("w")  # first the heaviest member, then any
-        pick = [F.max_by("b", w).alias("a"), F.max_by("comp", w).alias("acomp"), *(F.max_by(s, w).alias(f"a{s}") for s in SKETCH)]
-        pivots = at.groupBy("key").agg(*pick)
-        pairs = at.join(pivots, "key").filter((F.col("comp") != F.col("acomp")) & _close(hasher, least, "s", "as")).select("a", "b").distinct()
-        new = stored(confirmed(pairs, texts, share, size), "links")
+            every = turn == star_rounds or left["p"] <= each * left["m"]
+        if every:  # all pairs that are left
+            other = at.toDF(*[c if c == "key" else f"o{c}" for c in at.columns])
+            pairs = at.join(other, "key").filter((F.col("comp") < F.col("ocomp")) & _close(hasher, least, "s", "os")).select(F.least("b", "ob").alias("a"), F.greatest("b", "ob").alias("b"))
+        else:
+            w = F.xxhash64("b", F.lit(turn)) if turn else F.col("w")  # first the heaviest member, then any
+            pick = [F.max_by("b", w).alias("a"), F.max_by("comp", w).alias("acomp"), *(F.max_by(s, w).alias(f"a{s}") for s in SKETCH)]
+            pairs = at.join(at.groupBy("key").agg(*pick), "key").filter((F.col("comp") != F.col("acomp")) & _close(hasher, least, "s", "as")).select("a", "b")
+        new = stored(confirmed(pairs.distinct(), texts, share, size), "links")
         links = new if links is None else links.union(new)
         labels = stored(components(links), "labels")
+        if every:
+            break
     out = who.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(
         F.col("id").alias(id_col),

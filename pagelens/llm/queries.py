@@ -14,6 +14,7 @@ from . import minhash as _minhash
 from . import packing as _packing
 from . import pii as _pii
 from . import quality as _quality
+from . import suffixes as _suffixes
 from . import vectors as _vectors
 from .common import table
 
@@ -80,6 +81,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=100).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_vectors": op2_vectors,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
+    "op9_suffixes": op9_suffixes,
 }
 
 ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .graph import components
+from .graph import components, merged_labels
 
 TILE = 1024
 
@@ -57,21 +57,6 @@ def tile_links(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarr
     return i[keep], j[keep]
 
 
-def local_roots(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Merge links into labels, each the smallest position of its component."""
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        while (new != (jump := new[new])).any():
-            new = jump
-        label = new[label]
-        open_ = label[i] != label[j]
-        i, j = i[open_], j[open_]
-    return label
-
-
 def _tiles(ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> list[Tile]:
     """Tiles of neighbours: rows sorted by the nearest of a few of them, so that angles can rule tiles out."""
     unit = unit_vectors(x)
@@ -134,7 +119,7 @@ def link_vectors(vectors: DataFrame, *, threshold: float = 0.9, block: int = 409
                 if len(i):
                     links[starts[m] : starts[m + 1]] += np.bincount(i, b[k].copies[j], len(a[m].ids)).astype(np.int64)
                     links[starts[n] : starts[n + 1]] += np.bincount(j, a[m].copies[i], len(b[k].ids)).astype(np.int64)
-                    label = local_roots(len(ids), i + starts[m], j + starts[n], label)
+                    label = merged_labels(label, i + starts[m], j + starts[n])
         some = links > 0
         return pa.table({"id": ids[some], "links": links[some], "root": ids[label[some]]})
 
