@@ -14,6 +14,7 @@ from . import minhash as _minhash
 from . import packing as _packing
 from . import pii as _pii
 from . import quality as _quality
+from . import segment as _segment
 from . import suffixes as _suffixes
 from . import vectors as _vectors
 from .common import table
@@ -85,6 +86,15 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=100).drop("kept")
 
 
+def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two samples of every document: their ids as a CRC-32 of little-endian uint32, and the scores."""
+    import public_tokenizers
+
+    got = _segment.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), samples=2, seed=1)
+    scores = [F.round(c, 6).alias(c) for c in ("log_prob", "perturbed", "inclusion")]
+    return got.select("doc_id", "sample", "n_ids", F.crc32("ids").alias("ids_crc32"), *scores, "decoded")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_vectors": op2_vectors,
@@ -95,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_suffixes": op9_suffixes,
+    "op10_segmentations": op10_segmentations,
 }
 
 ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
