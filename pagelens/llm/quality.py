@@ -80,7 +80,7 @@ def _when(known: bool, bad: bool, good: bool) -> int:
 LABELLERS = {
     "symbols": lambda s: _when(s.words >= 10, s.symbols > 0.06, s.symbols < 0.03),
     "upper": lambda s: _when(s.words >= 10, s.upper > 0.35, s.upper < 0.15),
-    "distinct": lambda s: _when(s.words >= 50, s.distinct < min(0.3, 6 / s.words**0.5), s.distinct > min(0.4, 8 / s.words**0.5)),
+    "distinct": lambda s: _when(s.words >= 50, s.distinct < min(0.3, 6 / max(1, s.words) ** 0.5), s.distinct > min(0.4, 8 / max(1, s.words) ** 0.5)),
     "repeats": lambda s: _when(s.words >= 20, s.repeats > 0.15, s.repeats < 0.05),
     "lines": lambda s: _when(s.words >= 50, s.lines > 0.5, s.lines < 0.3),
     "length": lambda s: _when(s.words >= 20, not 2.5 <= s.length <= 7.2, 3 <= s.length <= 6.5),
