@@ -1,6 +1,6 @@
 """Burrows-Wheeler transforms of shards of strings, merged by iterative interleave refinement.
 
-The alphabet are the substrings of STRIDE bytes (as 30 bits of a hash; the full window is compared once more at the
+The alphabet are the substrings of STRIDE bytes (as 15 bits of a hash; the full window is compared once more at the
 end, by 64 bits), and a suffix is followed by the one STRIDE bytes later. So a context of 100 bytes is four symbols, and four rounds of refinement order all suffixes by it.
 """
 
@@ -11,17 +11,6 @@ import numpy as np
 STRIDE = 25
 
 
-def _radix(keys: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
-    """A stable order of non-negative int32 keys (refining a given order), by passes of 16 bits."""
-    for shift in (0, 16):
-        part = (keys >> shift).astype(np.uint16)
-        if shift and not part.any():
-            break
-        step = np.argsort(part if order is None else part[order], kind="stable")
-        order = step if order is None else order[step]
-    return order
-
-
 def rolling(x: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each n bytes of x, by doubling."""
     out, have, power = None, 0, x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
@@ -51,23 +40,26 @@ class Shard:
     """The suffix order of some strings to `depth` symbols, and its transform.
 
     Each string has as many rows as bytes and one more; those with fewer than STRIDE bytes left are its ends. `symbol`
-    holds a positive number for each row, 0 for ends.
+    holds a number for each row, 0 for ends. Suffixes that agree stand in the order of their places.
     """
 
     def __init__(self, symbol: np.ndarray, start: np.ndarray, depth: int):
         n = len(symbol)
-        at = np.arange(n)
-        end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))  # of each row's string
-        order = None
-        for h in range(depth - 1, -1, -1):
-            there = at + h * STRIDE
-            key = np.where(there < end, symbol[np.minimum(there, n - 1)], 0).astype(np.int32)
-            order = _radix(key, order)
+        keys = [symbol]
+        for _ in range(depth - 1):
+            key = np.zeros(n, np.uint16)
+            key[: n - STRIDE] = keys[-1][STRIDE:]
+            key[symbol == 0] = 0
+            keys.append(key)
+        order = np.argsort(keys[-1], kind="stable")
+        for key in keys[-2::-1]:
+            order = order[np.argsort(key[order], kind="stable")]
+        before = np.zeros(n, np.uint16)
+        before[STRIDE:] = symbol[: n - STRIDE]
+        before[(start[:, None] + np.arange(STRIDE)).ravel()] = 0  # what precedes a string's first bytes
         self.suffixes = order
-        before = order - STRIDE
-        first = np.repeat(start, np.diff(np.append(start, n)))[order]
-        self.transform = np.where(before >= first, symbol[np.maximum(before, 0)], 0).astype(np.int32)
-        self.ends = int((symbol == 0).sum())
+        self.transform = before[order]
+        self.ends = int(n - np.count_nonzero(symbol))
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,49 +72,48 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = [len(s.transform) for s in shards]
     z = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
     fixed = np.repeat(np.arange(len(shards), dtype=np.uint8), [s.ends for s in shards])
-    interval = np.zeros(len(z), np.int64)
-    for _ in range(depth):
-        symbols = np.empty(len(z), np.int32)
-        for j, s in enumerate(shards):
-            symbols[z == j] = s.transform
+    interval = np.zeros(len(z), np.int32)
+    symbols = np.concatenate([s.transform for s in shards])
+    for turn in range(depth):
+        if turn:
+            for j, s in enumerate(shards):
+                symbols[z == j] = s.transform
         inner = np.flatnonzero(symbols)  # the others precede a string's first bytes; the ends keep their places
-        order = inner[_radix(symbols[inner])]
+        order = inner[np.argsort(symbols[inner], kind="stable")]
         c, g = symbols[order], interval[order]
         new = np.ones(len(order), bool)
-        new[1:] = (c[1:] != c[:-1]) | (g[1:] != g[:-1])
+        np.logical_or(c[1:] != c[:-1], g[1:] != g[:-1], out=new[1:])
         z = np.concatenate([fixed, z[order]])
-        interval = np.concatenate([np.zeros(len(fixed), np.int64), np.cumsum(new)])
+        interval = np.concatenate([np.zeros(len(fixed), np.int32), np.cumsum(new, dtype=np.int32)])
     return z, interval
 
 
-def repeated_windows(data: np.ndarray, start: np.ndarray, window: int = 100, shard_bytes: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Of strings laid end to end, the places at which `window` bytes begin, and the interval of equal ones of each."""
+def repeated_windows(data: np.ndarray, start: np.ndarray, window: int = 100, shards_of: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings laid end to end, the places at which `window` bytes begin, and the interval of equal ones of each.
+
+    They come interval by interval, in each by place. Each string must have `window` bytes at least. The strings are dealt to `shards_of` shards in order.
+    """
     depth = window // STRIDE
     if depth * STRIDE != window:
         raise ValueError(f"the window must be a multiple of {STRIDE}")
     n = len(data)
     lengths = np.diff(np.append(start, n))
+    if len(start) and lengths.min() < window:
+        raise ValueError("each string must hold a window")
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    if n >= STRIDE:
-        h[: n - STRIDE + 1] = rolling(data, STRIDE)
-    left = np.repeat(start + lengths, lengths) - np.arange(n)
-    symbol = np.where(left >= STRIDE, (h >> np.uint64(33)).astype(np.int32) | 1, 0)
-    # a row past each string's end
-    where = np.repeat(np.arange(len(start)), lengths) + np.arange(n)
-    rows = np.zeros(n + len(start), np.int32)
-    rows[where] = symbol
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    # a row past each string's end; its place in rows is its byte's plus the number of its string
+    string_of = np.repeat(np.arange(len(start), dtype=np.int32), lengths)
     begin = start + np.arange(len(start))
-    cuts = [0]
-    for i in range(len(start)):
-        if begin[i] - begin[cuts[-1]] >= max(shard_bytes, len(rows) // 64):
-            cuts.append(i)
-    if len(cuts) == 1 and len(start) > 1:
-        cuts.append(len(start) // 2)
-    cuts.append(len(start))
+    h = np.zeros(n, np.uint16)
+    h[: n - STRIDE + 1] = (rolling(data, STRIDE) >> np.uint64(48)).astype(np.uint16) | 1
+    rows = np.zeros(n + len(start), np.uint16)
+    rows[np.arange(n, dtype=np.int64) + string_of] = h
+    tail = begin[:, None] + lengths[:, None] - np.arange(STRIDE)  # fewer than STRIDE bytes left
+    rows[tail.ravel()] = 0
+    cuts = np.unique(np.append(np.searchsorted(begin, np.linspace(0, len(rows), shards_of + 1)[:-1]), len(start)))
     shards, bases = [], []
-    for a, b in zip(cuts, cuts[1:], strict=False):
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         lo, hi = begin[a], begin[b] if b < len(start) else len(rows)
         shards.append(Shard(rows[lo:hi], begin[a:b] - lo, depth))
         bases.append(lo)
@@ -130,16 +121,18 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, window: int = 100, sha
     place = np.empty(len(z), np.int64)
     for j, s in enumerate(shards):
         place[z == j] = s.suffixes + bases[j]
-    string = np.searchsorted(begin, place, side="right") - 1
-    byte = place - string
-    whole = byte + window <= start[string] + lengths[string]
-    byte, interval = byte[whole], interval[whole]
-    full = rolling(data, window)[byte] if len(byte) else byte  # two symbols may have met in 30 bits: look at all bytes again
-    same = interval[1:] == interval[:-1]
-    if (same & (full[1:] != full[:-1])).any():
-        order = np.lexsort((full, interval))
-        byte, interval, full = byte[order], interval[order], full[order]
-        new = np.ones(len(byte), np.int64)
+    owner = np.repeat(np.arange(len(start), dtype=np.int32), lengths + 1)[place]
+    whole = place + window <= (begin + lengths)[owner]
+    byte, interval = (place - owner)[whole], interval[whole]
+    if not len(byte):
+        return byte, interval
+    full = rolling(data, window)[byte]  # two symbols may have met in 15 bits: look at all bytes again
+    differ = (interval[1:] == interval[:-1]) & (full[1:] != full[:-1])
+    if differ.any():
+        mixed = np.flatnonzero(np.isin(interval, interval[1:][differ]))
+        order = mixed[np.lexsort((byte[mixed], full[mixed], interval[mixed]))]
+        byte[mixed], full[mixed] = byte[order], full[order]
+        new = np.ones(len(byte), bool)
         new[1:] = (interval[1:] != interval[:-1]) | (full[1:] != full[:-1])
-        interval = np.cumsum(new)
+        interval = np.cumsum(new, dtype=np.int32)
     return byte, interval

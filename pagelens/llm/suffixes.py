@@ -75,7 +75,7 @@ def _runs(at: np.ndarray) -> list[int]:
     return np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + 1], axis=1).ravel().tolist()
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 100, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 100, chunk_bytes: int = 1 << 20, task_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     A byte is removed if a window that covers it occurs earlier: in a row with a smaller id, or earlier in the same.
@@ -98,18 +98,19 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, chunk_bytes: int = 8 <
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in rows_of(whole):
-                    hs, ids = [], []
+                    hs, ns, ids = [], [], []
                     for i, t in enumerate(b.column("text").to_pylist()):
-                        h = anchors_of(_bytes(t), window, hot)
+                        h, n = np.unique(anchors_of(_bytes(t), window, hot), return_counts=True)
                         hs.append(h)
+                        ns.append(n > 1)
                         ids.append(np.full(len(h), i))
                     at = np.concatenate(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column("id").take(pa.array(at))], names=["h", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column("id").take(pa.array(at)), pa.array(np.concatenate(ns))], names=["h", "id", "twice"])
 
         return run
 
     id_type = docs.schema[id_col].dataType
-    h_id = T.StructType([T.StructField("h", T.LongType()), T.StructField("id", id_type)])
+    h_id = T.StructType([T.StructField("h", T.LongType()), T.StructField("id", id_type), T.StructField("twice", T.BooleanType())])
     some = read.filter("id is not null and text is not null")
     counts = some.filter(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(16)) == 0).mapInArrow(grams(np.empty(0, np.uint64)), h_id).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     hot = np.sort(np.array([r["h"] for r in counts.filter("n >= 20").orderBy(F.desc("n"), "h").limit(1000).collect()], np.int64).view(np.uint64))
@@ -122,8 +123,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, chunk_bytes: int = 8 <
     from pyspark.sql import Window
 
     # a hot anchor is known to occur often and is not counted again
-    often = rows.filter("h >= 0").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1").select("id", "h")
-    wanted = stored(often.distinct().groupBy("id").agg(F.collect_list("h").alias("hs")), "anchors")
+    often = rows.filter("h >= 0").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1 or twice").select("id", "h")
+    wanted = stored(often.groupBy("id").agg(F.collect_list("h").alias("hs")), "anchors")
 
     cut_type = T.StructType([T.StructField("id", id_type)] + [T.StructField(c, T.LongType()) for c in ("a", "w", "h", "s1", "s2")] + [T.StructField("string", T.BinaryType())])
 
@@ -154,26 +155,21 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, chunk_bytes: int = 8 <
     pieces = stored(some.join(wanted, "id", "left").mapInArrow(cut, cut_type), "pieces")
     sent_bytes = pieces.agg(F.sum(F.octet_length("string"))).first()[0] or 0
     low = pieces.groupBy("s1", "s2", "h").agg(F.min(F.struct("id", "a")).alias("p"), F.max("string").alias("string"), F.count(F.lit(1)).alias("n"))
-    parts = max(1, sent_bytes // chunk_bytes + 1)
+    parts = max(1, sent_bytes // task_bytes + 1)
     dealt = low.select("s1", "s2", "h", F.col("p.id").alias("id"), F.col("p.a").alias("a"), "string").repartition(int(parts), "h").sortWithinPartitions("h")
     found_type = T.StructType([T.StructField(c, T.LongType()) for c in ("s1", "s2")] + [T.StructField("id", id_type), T.StructField("a", T.LongType()), T.StructField("runs", T.ArrayType(T.LongType()))])
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        lengths = np.array([len(x) for x in t.column("string").to_pylist()], np.int64)
+        t = t.take(pa.array(np.lexsort((t.column("a").to_numpy(), t.column("id").to_numpy()))))  # so the first of an interval is the earliest
+        strings = t.column("string").to_pylist()
+        lengths = np.array([len(x) for x in strings], np.int64)
         start = np.cumsum(lengths) - lengths
-        data = np.frombuffer(b"".join(t.column("string").to_pylist()), np.uint8)
-        byte, interval = repeated_windows(data, start, window)
-        string = np.searchsorted(start, byte, side="right") - 1
-        ids, a = t.column("id").to_numpy()[string], t.column("a").to_numpy()[string] + byte - start[string]
-        order = np.lexsort((a, ids, interval))
-        later = np.zeros(len(byte), bool)
-        later[order[1:]] = interval[order[1:]] == interval[order[:-1]]
-        gone = np.flatnonzero(later)
-        where, off = string[gone], byte[gone] - start[string[gone]]
-        o = np.lexsort((off, where))
-        where, off = where[o], off[o]
+        byte, interval = repeated_windows(np.frombuffer(b"".join(strings), np.uint8), start, window)
+        gone = np.sort(byte[1:][interval[1:] == interval[:-1]])
+        where = np.searchsorted(start, gone, side="right") - 1
         ends = np.searchsorted(where, np.arange(len(lengths) + 1))
-        runs = [_runs(off[ends[k] : ends[k + 1]]) for k in range(len(lengths))]
+        off = gone - start[where]
+        runs = [_runs(off[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("s1", "s2", "id", "a")] + [pa.array(runs, pa.list_(pa.int64()))], names=found_type.names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
