@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "page_links"
+FLAGSHIP = "link_folds"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,9 +24,8 @@ def query(sql: str | None = None):
     return put
 
 
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href="), 0)).cast("long").alias("n_links"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-query("SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href='))::BIGINT AS n_links FROM pages")(page_links)
+from . import site_queries, robots_queries, table_queries  # noqa: E402, F401  they fill the two dictionaries
