@@ -170,7 +170,7 @@ def near_duplicates(
     least = share[0] / share[1] - margin
     sig = stored(signatures(docs, hasher, size, id_col, text_col), "signatures")
     same = sig.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    who = sig.select("id", "n", "h1", "h2").join(same, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    who = sig.select("id", "n", "h1", "h2").join(same, ["n", "h1", "h2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     reps = sig.filter("n > 0 and id is not null").join(same, ["n", "h1", "h2"], "left").filter("rep is null or rep = id")
     keyed = reps.select(F.explode("keys").alias("key"), F.col("id").alias("b"), *SKETCH)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")

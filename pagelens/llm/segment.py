@@ -119,103 +119,117 @@ def pieces(path: str) -> Pieces:
 
 
 class Lattices:
-    """The lattices of different words, laid end to end: at each sign, how likely the last piece has each length.
+    """The lattices of different words, laid end to end: at each sign, the pieces that may end there and how likely each is.
 
-    Words stay until `limit` signs are held; then all are dropped.
+    Words stay until `limit` signs are held; then all are dropped. What is kept of a word does not depend on others.
     """
 
-    def __init__(self, model: Pieces, limit: int = 600_000):
+    def __init__(self, model: Pieces, limit: int = 2_000_000):
         self.model, self.limit = model, limit
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.start = self.end = np.empty(0, np.int64)  # by word
-        self.signs, self.used = np.empty(0, np.uint32), 0
-        self.piece, self.share = np.empty((0, 1), np.int32), np.empty((0, 1))
+        self.signs = np.empty(0, np.uint32)
+        self.first = np.zeros(1, np.int64)  # of the pieces by sign, long ones first
+        self.piece, self.length = np.empty(0, np.int32), np.empty(0, np.uint8)
+        self.share, self.logp, self.upto = np.empty(0), np.empty(0), np.empty(0)  # probability, its log, running sum
 
     def numbers(self, words: list[list[str]]) -> list[list[int]]:
         """The number of each word; lattices of new ones are added."""
-        for again in range(2):
-            known, before = self.known, len(self.known)
-            out = [[known[w] if w in known else known.setdefault(w, len(known)) for w in ws] for ws in words]
-            new = list(known)[before:]
-            if not before or self.used + sum(map(len, new)) <= self.limit or again:
-                break
+        every = {w for ws in words for w in ws}
+        new = [w for w in every if w not in self.known]
+        if self.known and len(self.signs) + sum(map(len, new)) > self.limit:
             self._clear()
+            new = list(every)
         if new:
+            for w in new:
+                self.known[w] = len(self.known)
             self._add(new)
-        return out
+        get = self.known.__getitem__
+        return [list(map(get, ws)) for ws in words]
 
     def _add(self, words: list[str]) -> None:
         model = self.model
-        length = np.array([len(w) for w in words], np.int64)
-        order = np.argsort(-length, kind="stable")
-        size = length[order]
+        size = np.array([len(w) for w in words], np.int64)
         begin = np.cumsum(size) - size
-        x = np.frombuffer("".join(words[k] for k in order).encode("utf-32-le", "surrogatepass"), np.uint32)
-        n, m = len(x), model.longest
-        piece = np.full((n, m), -1, np.int32)  # that ends here, by its length less 1
-        h = np.zeros(n, np.uint64)
+        x = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(x)
         offset = np.arange(n) - np.repeat(begin, size)
-        for k in range(1, m + 1):
-            if n < k:
+        left = np.repeat(size, size) - offset
+        at, h, hits = np.arange(n), np.zeros(n, np.uint64), []
+        for k in range(1, model.longest + 1):
+            if k > 1:
+                more = left[at] >= k
+                at, h = at[more], h[more]
+            if not len(at):
                 break
-            h = model._step(h[: n - k + 1], x[k - 1 :])
-            piece[k - 1 :, k - 1] = np.where(offset[k - 1 :] >= k - 1, model.find(h, k), -1)
-        m = max(int(np.flatnonzero((piece >= 0).any(axis=0)).max(initial=0)) + 1, self.share.shape[1])
-        piece = piece[:, :m]
+            h = model._step(h, x[at + k - 1])
+            ids = model.find(h, k)
+            some = np.flatnonzero(ids >= 0)
+            hits.append((at[some] + k - 1, np.full(len(some), k, np.uint8), ids[some]))
+        bare = np.ones(n, bool)
+        bare[hits[0][0]] = False
+        bare = np.flatnonzero(bare)
+        hits.append((bare, np.ones(len(bare), np.uint8), np.where(x[bare] < 128, model.ascii[np.minimum(x[bare], 127)], -1)))
+        end, length, piece = (np.concatenate(c) for c in zip(*hits[::-1], strict=True))
         w = np.where(piece >= 0, model.weight[piece], -np.inf)
-        bare = np.flatnonzero(piece[:, 0] < 0)
-        w[bare, 0] = model.floor
-        bare = bare[x[bare] < 128]
-        piece[bare, 0] = model.ascii[x[bare]]
-        total = np.zeros(n + 1)  # log of the sum over segmentations up to each sign
-        share = np.ones((n, m))
-        for t in range(int(size.max())):
-            at = begin[: np.searchsorted(-size, -t, side="left")] + t
-            k = min(m, t + 1)
-            z = w[at, :k] + total[at[:, None] - np.arange(1, k + 1)] * (np.arange(1, k + 1) <= t)
-            top = z.max(axis=1)
-            e = np.exp(z - top[:, None])
-            s = e.sum(axis=1)
-            total[at] = top + np.log(s)
-            share[at, :k] = np.cumsum(e, axis=1) / s[:, None]
-            share[at, k - 1 :] = 1.0
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        self.start = np.append(self.start, self.used + begin[place])
-        self.end = np.append(self.end, self.used + begin[place] + length - 1)
-        if self.used + n > len(self.share) or m > self.share.shape[1]:
-            room = max(self.used + n, self.limit)
-            wider = [np.empty(room, np.uint32), np.full((room, m), -1, np.int32), np.ones((room, m))]
-            for new, old in zip(wider, (self.signs, self.piece, self.share), strict=True):
-                if new.ndim == 1:
-                    new[: self.used] = old[: self.used]
-                else:
-                    new[: self.used, : old.shape[1]] = old[: self.used]
-            self.signs, self.piece, self.share = wider
-        here = slice(self.used, self.used + n)
-        self.signs[here], self.piece[here], self.share[here] = x, piece, share
-        self.used += n
+        w[: len(bare)] = model.floor
+        swap = np.argsort(-length.astype(np.int8), kind="stable")
+        swap = swap[np.argsort(end[swap], kind="stable")]
+        end, length, piece, w = end[swap], length[swap], piece[swap], w[swap]
+        many = np.bincount(end, minlength=n)
+        first = np.append(0, np.cumsum(many))
+        total, share, logp = np.zeros(n), np.empty(len(end)), np.empty(len(end))
+        t_of = offset[end]
+        turn = np.argsort(t_of, kind="stable")
+        bounds = np.searchsorted(t_of[turn], np.arange(int(size.max()) + 1))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            rows = turn[a:b]
+            e, k = end[rows], length[rows].astype(np.int64)
+            z = w[rows] + np.where(k == t_of[rows] + 1, 0.0, total[e - k])
+            group = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
+            each = np.diff(np.append(group, len(e)))
+            top = np.maximum.reduceat(z, group)
+            p = np.exp(z - np.repeat(top, each))
+            s = np.add.reduceat(p, group)
+            total[e[group]] = top + np.log(s)
+            share[rows] = p / np.repeat(s, each)
+            logp[rows] = z - np.repeat(total[e[group]], each)
+        upto = share.copy()
+        for k in range(1, int(many.max())):
+            rows = first[:-1][many > k] + k
+            upto[rows] += upto[rows - 1]
+        upto[first[1:] - 1] = np.inf
+        used, had = len(self.signs), len(self.piece)
+        self.start, self.end = np.append(self.start, used + begin), np.append(self.end, used + begin + size - 1)
+        self.signs = np.append(self.signs, x)
+        self.first = np.append(self.first[:-1], had + first)
+        for name, new in (("piece", piece), ("length", length), ("share", share), ("logp", logp), ("upto", upto)):
+            setattr(self, name, np.append(getattr(self, name), new.astype(getattr(self, name).dtype)))
 
     def draw(self, word: np.ndarray, seed: np.ndarray, index: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One segmentation of each word: (ids laid end to end, their number by word, log probability by word)."""
-        p, first = self.end[word], self.start[word]
+        here, begin = self.end[word], self.start[word]
         logp, number = np.zeros(len(word)), np.zeros(len(word), np.int64)
         steps, active, step = [], np.arange(len(word)), 0
         while len(active):
-            here = p[active]
-            c = self.share[here]
-            u = uniforms(seed[active], index[active], turn * 65537 + step)
-            k = (u[:, None] >= c).sum(axis=1)
-            rows = np.arange(len(active))
-            logp[active] += np.log(c[rows, k] - np.where(k > 0, c[rows, k - 1], 0))
-            got = self.piece[here, k]
-            steps.append((active, np.where(got < 0, -1 - self.signs[here].astype(np.int64), got)))
+            u = uniforms(seed, index, turn * 65537 + step)
+            o = self.first[here]
+            miss = np.flatnonzero(u >= self.upto[o])
+            while len(miss):
+                o[miss] += 1
+                miss = miss[u[miss] >= self.upto[o[miss]]]
+            logp[active] += self.logp[o]
+            got = self.piece[o]
+            if got.min() < 0:
+                got = np.where(got < 0, -1 - self.signs[here].astype(np.int64), got)
+            steps.append((active, got))
             number[active] += 1
-            p[active] = here - k - 1
-            active = active[p[active] >= first[active]]
+            here = here - self.length[o]
+            on = here >= begin
+            here, begin, active, seed, index = here[on], begin[on], active[on], seed[on], index[on]
             step += 1
         ends = np.cumsum(number)
         ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
@@ -223,26 +237,43 @@ class Lattices:
             ids[ends[a] - 1 - s] = got
         return ids, number, logp
 
+    def chance(self, word: int, path: tuple[int, ...]) -> float:
+        """The probability of a segmentation of a word, given as piece lengths from the end."""
+        p, out = int(self.end[word]), 1.0
+        for k in path:
+            out *= self._of(p).get(k, (0.0, 0.0, 0))[0]
+            p -= k
+        return out
+
+    def _of(self, p: int) -> dict[int, tuple[float, float, int]]:
+        """The pieces that end at a sign: length -> (probability, its log, id)."""
+        a, b = int(self.first[p]), int(self.first[p + 1])
+        return dict(zip(self.length[a:b].tolist(), zip(self.share[a:b].tolist(), self.logp[a:b].tolist(), self.piece[a:b].tolist(), strict=True), strict=True))
+
     def draw_other(self, word: int, out: list[tuple[int, ...]], seed: np.uint64, index: int, turn: int) -> tuple[list[int], float]:
         """A segmentation of a word that is none of `out` (piece lengths from the end), and its log probability."""
         p, first, ids, logp, step = int(self.end[word]), int(self.start[word]), [], 0.0, 0
         while p >= first:
-            c = np.diff(self.share[p], prepend=0.0)
-            weight = c.copy()
+            options = self._of(p)
+            weight = {k: v[0] for k, v in options.items()}
             for path in out:  # what follows the excluded path from here on is taken off
                 q, rest = p, 1.0
                 for k in path[step:]:
-                    rest *= self.share[q, k - 1] - (self.share[q, k - 2] if k > 1 else 0.0)
+                    rest *= self._of(q)[k][0]
                     q -= k
-                weight[path[step] - 1] -= rest
-            weight = np.maximum(weight, 0.0)
-            u = float(uniforms(np.array([seed]), np.array([index]), turn * 65537 + 32768 + step)[0])
-            k = int(min(np.searchsorted(np.cumsum(weight), u * weight.sum(), side="right"), np.flatnonzero(weight > 0)[-1]))
-            logp += math.log(c[k])
-            got = int(self.piece[p, k])
+                weight[path[step]] -= rest
+            u = float(uniforms(np.array([seed]), np.array([index]), turn * 65537 + 32768 + step)[0]) * sum(max(v, 0.0) for v in weight.values())
+            for k, v in weight.items():
+                if v > 0:
+                    chosen = k
+                    u -= v
+                    if u < 0:
+                        break
+            _, lp, got = options[chosen]
+            logp += lp
             ids.append(got if got >= 0 else -1 - int(self.signs[p]))
-            out = [path for path in out if path[step] == k + 1]
-            p -= k + 1
+            out = [path for path in out if path[step] == chosen]
+            p -= chosen
             step += 1
         return ids[::-1], logp
 
@@ -257,27 +288,17 @@ class Leaf:
     out: tuple[tuple[int, ...], ...] = ()  # segmentations that are excluded there
 
 
-def _chance(lattices: Lattices, word: int, path: tuple[int, ...]) -> float:
-    p, out = int(lattices.end[word]), 1.0
-    for k in path:
-        out *= lattices.share[p, k - 1] - (lattices.share[p, k - 2] if k > 1 else 0.0)
-        p -= k
-    return out
-
-
 def _others(lattices: Lattices, leaves: list[Leaf], parted_words: list[int], seeds: np.ndarray, turn: int, most: int) -> list[list[tuple[float, int]]]:
     """For each leaf the best `most` of the sets left beside it: (perturbed maximum, word at which they part)."""
     count = np.array([len(x.logp) - x.parted for x in leaves])
     begin = np.cumsum(count) - count
     logp = np.concatenate([x.logp[x.parted :] for x in leaves])
-    fixed = np.array([x.logp[: x.parted].sum() for x in leaves])
     gone = np.exp(logp)
     for d, x in enumerate(leaves):
         for path in x.out:
-            gone[begin[d]] += _chance(lattices, parted_words[d], path)
+            gone[begin[d]] += lattices.chance(parted_words[d], path)
     left = 1.0 - gone
-    before = np.cumsum(logp) - logp
-    before += np.repeat(fixed - before[begin], count)
+    before = np.concatenate([np.cumsum(x.logp)[x.parted :] for x in leaves]) - logp
     phi = np.where(left > 1e-13, np.log(np.maximum(left, 1e-300)) + before, -np.inf)
     index = np.arange(len(logp)) - np.repeat(begin - [x.parted for x in leaves], count)
     u = uniforms(np.repeat(seeds, count), index, (1 << 40) + turn)
