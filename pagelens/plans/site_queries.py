@@ -170,3 +170,21 @@ SELECT *, CASE WHEN n_dead = 0 THEN 'pass' WHEN (n_dead + n_alive >= 10 AND n_de
 def index_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = positions_of(spark, sf_dir).groupBy("host").agg(F.count_if(F.col("status") == "fail").alias("n_dead"), F.count_if(F.col("status") == "pass").alias("n_alive"), F.count_if(F.col("status") == "unknown").alias("n_unknown"))
     return g.select("*", L.grade(F.col("n_dead"), F.col("n_alive")).alias("grade"))
+
+
+@query(rf"""WITH RECURSIVE {_LINKS}, p AS (SELECT norm_url, min(page_id) AS i, first(page_url || '|' || position ORDER BY page_id, ord) AS locus FROM normed GROUP BY norm_url),
+d AS (SELECT norm_url, locus, regexp_extract(norm_url, '^[^:/?#]+://([^/?#]*)', 1) AS host, list_filter(string_split(regexp_extract(norm_url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM p WHERE i % 5 = 2),
+c AS (SELECT *, count(*) OVER (PARTITION BY locus) AS n FROM d),
+e AS (SELECT a.norm_url AS a, b.norm_url AS b FROM c a JOIN c b ON a.locus = b.locus OR (a.host = b.host AND len(a.s) >= 2 AND len(b.s) >= 2 AND a.s[1] = b.s[1] AND a.s[2] = b.s[2])),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT cause, count(*) AS n_targets, 'route_missing' AS defect FROM (SELECT a, min(b) AS cause FROM r GROUP BY a) GROUP BY cause""")
+def root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic deadness: targets whose first page's id leaves 2 when divided by 5. One site: the whole table."""
+    from ..operators import rootcause as C2
+
+    folded = links_of(spark, sf_dir).groupBy("norm_url").agg(F.min("page_id").alias("i"), F.min(F.struct("page_id", "ord", "page_url", "position")).alias("f"))
+    u = F.col("norm_url")
+    dead = folded.filter("i % 5 = 2").select(
+        F.lit("all").alias("site"), "norm_url", U.url_host(u).alias("host"), U.part(u, 3).alias("path"), F.concat_ws("|", "f.page_url", "f.position").alias("locus"), F.lit("route_missing").alias("defect")
+    )
+    return C2.root_causes(dead).select("cause", "n_targets", "defect")
