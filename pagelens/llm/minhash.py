@@ -17,6 +17,7 @@ from .graph import components
 BITS = 256  # of an odd sketch: four longs
 WORDS = BITS // 64
 SKETCH = [f"s{i}" for i in range(WORDS)]
+FULL = [f"f{i}" for i in range(8)]  # parity bitmap of the full set
 
 
 class _WordHash(dict):
@@ -81,17 +82,24 @@ class Hasher:
         return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def full_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of how many shingles of a set fall on each of 512 bits. Two sets differ in as many shingles at least as their bitmaps in bits."""
+    bits = np.bincount((shingles * np.uint64(0x9FB21C651E98DF25) >> np.uint64(55)).astype(np.int64), minlength=64 * len(FULL)) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, hasher: Hasher, size: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), h1 and h2 (128-bit hash of the set), keys, s0.. (sketch); one pass over whole texts."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))] + [T.StructField(s, T.LongType()) for s in SKETCH])
+    """id, n (set size), h1 and h2 (128-bit hash of the set), keys, s0.. (odd sketch), f0.. (bitmap of the full set); one pass over whole texts."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))] + [T.StructField(s, T.LongType()) for s in SKETCH + FULL])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in rows_of(whole):
-                n, h, keys, sk = [], [], [], []
+                n, h, keys, sk, full = [], [], [], [], []
                 for t in b.column("text").to_pylist():
                     s = shingle_set(t, size)
                     n.append(len(s))
+                    full.append(full_sketch(s))
                     digest = xxhash.xxh3_128_intdigest(s.tobytes())
                     h.append((digest >> 64, digest & (1 << 64) - 1))
                     if len(s):
@@ -104,7 +112,7 @@ def signatures(docs: DataFrame, hasher: Hasher, size: int, id_col: str, text_col
                 h1, h2 = (np.array(x, np.uint64).view(np.int64) for x in zip(*h, strict=True))
                 flat = np.array([k for ks in keys for k in ks], np.uint64).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists, *(pa.array(c) for c in np.stack(sk).T.copy())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists, *(pa.array(c) for c in np.hstack([np.stack(sk), np.stack(full)]).T.copy())], names=schema.names)
 
     return docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(sign, schema)
 
@@ -117,6 +125,13 @@ def _close(hasher: Hasher, least: float, a: str, b: str) -> Column:
     return x <= F.lit(int(np.ceil(most)))
 
 
+def _may_reach(share: tuple[int, int]) -> Column:
+    """Whether the bitmaps of the full sets (n, f0.. and on, of, ..) leave a similarity of share possible. It never loses a pair."""
+    num, den = share
+    x = sum(F.bit_count(F.col(f).bitwiseXOR(F.col(f"o{f}"))) for f in FULL)
+    return x * (den + num) <= (F.col("n") + F.col("on")) * (den - num)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, share: tuple[int, int], size: int) -> DataFrame:
     """The pairs (a, b) with share[1] * intersection >= share[0] * union of their full shingle sets."""
     num, den = share
@@ -159,7 +174,8 @@ def near_duplicates(
     2. Of each bucket of a key, all members are compared with one pivot, the member that shares most buckets. The
        odd sketch drops pairs below the threshold less `margin` (about five standard deviations); full sets decide.
     3. Where buckets still have members in several components, their pairs across components are compared: at once if
-       there are at most `each` for a member, else after further pivots (`star_rounds` in all). A pair is left out only if it is known to be connected. So the components are those
+       there are at most `each` for a member, else after further pivots (`star_rounds` in all). Parity bitmaps of the full
+       sets, which bound their difference from below, leave only pairs that may reach the threshold. A pair is left out only if it is known to be connected. So the components are those
        of all candidate pairs, without ever making the pairs inside a group of copies.
 
     A pair at the threshold of 0.8 (0.85) shares no bucket with probability 7e-4 (1e-5); use more bands for less.
@@ -192,8 +208,9 @@ def near_duplicates(
                 break
             every = turn == star_rounds or left["p"] <= each * left["m"]
         if every:  # all pairs that are left
+            at = at.join(sig.select(F.col("id").alias("b"), "n", *FULL).dropDuplicates(["b"]), "b")
             other = at.toDF(*[c if c == "key" else f"o{c}" for c in at.columns])
-            pairs = at.join(other, "key").filter((F.col("comp") < F.col("ocomp")) & _close(hasher, least, "s", "os")).select(F.least("b", "ob").alias("a"), F.greatest("b", "ob").alias("b"))
+            pairs = at.join(other, "key").filter((F.col("comp") < F.col("ocomp")) & _close(hasher, least, "s", "os") & _may_reach(share)).select(F.least("b", "ob").alias("a"), F.greatest("b", "ob").alias("b"))
         else:
             w = F.xxhash64("b", F.lit(turn)) if turn else F.col("w")  # first the heaviest member, then any
             pick = [F.max_by("b", w).alias("a"), F.max_by("comp", w).alias("acomp"), *(F.max_by(s, w).alias(f"a{s}") for s in SKETCH)]
