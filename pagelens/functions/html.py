@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"))
 
@@ -31,7 +32,7 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visible_text_nfkc(visible: pd.Series) -> pd.Series:
     """Compatibility forms composed and all Unicode white space squeezed, for texts that need it."""
     return visible.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
