@@ -128,29 +128,38 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, chunk_bytes: int = 1 <
 
     cut_type = T.StructType([T.StructField("id", id_type)] + [T.StructField(c, T.LongType()) for c in ("a", "w", "h", "s1", "s2")] + [T.StructField("string", T.BinaryType())])
 
+    digest = xxhash.xxh3_128_digest
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # strings that this task has already sent
+        seen: set[bytes] = set()  # strings that this task has already sent
         for whole in batches:
             for b in rows_of(whole, 1 << 20):
-                out: list[tuple] = []
+                rows, starts, sizes, anchors_at, digests, strings = [], [], [], [], [], []
                 for i, (t, hs) in enumerate(zip(b.column("text").to_pylist(), b.column("hs"), strict=True)):
                     raw = (t or "").encode()
                     h, first, end = anchor_runs(np.frombuffer(raw, np.uint8), window, sent.value)
-                    mine = np.sort(hs.values.to_numpy().view(np.uint64)) if hs.is_valid else np.empty(0, np.uint64)
                     take = h > _SIGN
-                    if len(mine):
+                    if hs.is_valid:
+                        mine = np.sort(hs.values.to_numpy().view(np.uint64))
                         take |= mine[np.minimum(np.searchsorted(mine, h), len(mine) - 1)] == h
-                    for k in np.flatnonzero(take).tolist():
-                        a, e = int(first[k]), int(end[k])
-                        s = raw[a : e + window - 1]
-                        d = xxhash.xxh3_128_intdigest(s)
-                        out.append((i, a, e - a, int(h[k]), d >> 64, d & 0xFFFFFFFFFFFFFFFF, None if d in seen else s))
-                        if len(seen) < 200_000:
-                            seen.add(d)
-                if out:
-                    c = list(zip(*out, strict=True))
-                    un = [pa.array(np.array(c[k], np.uint64).view(np.int64)) for k in (3, 4, 5)]
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(c[0])), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), *un, pa.array(c[6], pa.binary())], names=cut_type.names)
+                    take = np.flatnonzero(take)
+                    first, end = first[take], end[take]
+                    rows.append(np.full(len(take), i))
+                    starts.append(first)
+                    sizes.append(end - first)
+                    anchors_at.append(h[take])
+                    for a, e in zip(first.tolist(), (end + (window - 1)).tolist(), strict=True):
+                        s = raw[a:e]
+                        d = digest(s)
+                        digests.append(d)
+                        strings.append(None if d in seen else s)
+                        seen.add(d)
+                if len(seen) > 200_000:
+                    seen.clear()
+                if digests:
+                    d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    cols = [pa.array(np.concatenate(c)) for c in (starts, sizes)] + [pa.array(np.concatenate(anchors_at).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(np.concatenate(rows))), *cols, pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(strings, pa.binary())], names=cut_type.names)
 
     pieces = stored(some.join(wanted, "id", "left").mapInArrow(cut, cut_type), "pieces")
     sent_bytes = pieces.agg(F.sum(F.octet_length("string"))).first()[0] or 0
