@@ -188,3 +188,41 @@ def root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("all").alias("site"), "norm_url", U.url_host(u).alias("host"), U.part(u, 3).alias("path"), F.concat_ws("|", "f.page_url", "f.position").alias("locus"), F.lit("route_missing").alias("defect")
     )
     return C2.root_causes(dead).select("cause", "n_targets", "defect")
+
+
+@query(rf"""WITH {_LINKS}, t AS (SELECT DISTINCT norm_url, regexp_extract(norm_url, '^[^:/?#]+://[^/?#]*', 0) AS root, regexp_extract(norm_url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path FROM normed),
+c AS (SELECT norm_url, CASE WHEN contains(regexp_extract(path, '[^/]*$', 0), '_') THEN root || regexp_extract(path, '^(.*/)?[^/]*$', 1) || replace(regexp_extract(path, '[^/]*$', 0), '_', '-') END AS h,
+  CASE WHEN starts_with(path, '/docs/') THEN root || substr(path, 6) END AS d FROM t)
+SELECT norm_url, (CASE WHEN h IS NULL THEN 0 ELSE 1 END + CASE WHEN d IS NULL OR d = h THEN 0 ELSE 1 END)::BIGINT AS n_candidates, coalesce(d, h) AS first_candidate FROM c""")
+def fix_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.fixes import candidates
+
+    c = links_of(spark, sf_dir).select("norm_url").distinct().withColumn("c", candidates(F.col("norm_url")))
+    return c.select("norm_url", F.size("c").cast("long").alias("n_candidates"), F.try_element_at("c.after", F.lit(1)).alias("first_candidate"))
+
+
+@query(rf"""WITH {_PARSED}, h AS (SELECT {_HOST} AS host, count(*) AS n_citations FROM parsed GROUP BY 1)
+SELECT *, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') = 'example.com' THEN 'own' ELSE 'third_party' END AS host_class,
+  CASE WHEN contains(host, 'staging') THEN 'staging' WHEN contains(host, 'test') THEN 'test' END AS mark,
+  array_to_string(string_split(host, '.')[-2:], '.') <> 'example.com' AND n_citations >= 2 AS to_probe FROM h""")
+def cited_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pages as P
+
+    return P.cited_hosts(table(spark, sf_dir, "pages").select("url"), "example.com")
+
+
+@query(rf"""WITH v AS (SELECT page_id, url, html, {_VISIBLE} AS t FROM pages), e AS (SELECT *, unnest(['title_contains', 'text_absent', 'min_visible_chars', 'indexable']) AS kind, unnest(['the', 'cookie', '400', 'true']) AS value FROM v)
+SELECT page_id, kind, CASE WHEN page_id % 9 = 4 THEN 'unknown' WHEN CASE kind WHEN 'title_contains' THEN contains(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 'the') WHEN 'text_absent' THEN NOT contains(lower(t), 'cookie')
+  WHEN 'min_visible_chars' THEN length(t) >= 400 ELSE NOT regexp_matches(html, '(?i)<meta[^>]+noindex') END THEN CASE WHEN kind = 'text_absent' AND page_id % 10 = 3 THEN 'unknown' ELSE 'pass' END
+  WHEN kind = 'title_contains' AND page_id % 10 = 3 THEN 'unknown' ELSE 'fail' END AS verdict FROM e""")
+def spec_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expectations on every page; which texts are cut or unusable is derived from the page id (synthetic)."""
+    from ..operators import pages as P
+
+    html, i = F.col("html"), F.col("page_id")
+    p = table(spark, sf_dir, "pages")
+    key = F.concat_ws(" ", "page_id", "url")
+    facts = p.select(key.alias("url"), H.first_title(html).alias("title"), F.lit(None).cast("array<string>").alias("h1s"), H.visible_text(html).alias("text"), F.array().cast("array<double>").alias("amounts"), html.rlike("(?i)<meta[^>]+noindex").alias("noindex"), (i % 10 == 3).alias("truncated"), (i % 9 == 4).alias("unusable"))
+    want = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v in (("title_contains", "the"), ("text_absent", "cookie"), ("min_visible_chars", "400"), ("indexable", "true"))])
+    spec = p.select(key.alias("url"), F.explode(want).alias("e")).select("url", "e.kind", "e.value")
+    return P.evaluate_spec(facts, spec).select(F.substring_index("url", " ", 1).cast("long").alias("page_id"), "kind", "verdict")
