@@ -161,7 +161,7 @@ def near_duplicates(
     bands: int = 24,
     rows: int = 6,
     margin: float = 0.22,
-    star_rounds: int = 4,
+    star_rounds: int = 2,
     each: int = 32,
     id_col: str = "doc_id",
     text_col: str = "text",
