@@ -118,6 +118,18 @@ def pieces(path: str) -> Pieces:
     return _models[path]
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for; `new` lists those not yet worked on."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Lattices:
     """The lattices of different words, laid end to end: at each sign, the pieces that may end there and how likely each is.
 
@@ -129,26 +141,26 @@ class Lattices:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.start = self.end = np.empty(0, np.int64)  # by word
         self.signs = np.empty(0, np.uint32)
         self.first = np.zeros(1, np.int64)  # of the pieces by sign, long ones first
         self.piece, self.length = np.empty(0, np.int32), np.empty(0, np.uint8)
         self.share, self.logp, self.upto = np.empty(0), np.empty(0), np.empty(0)  # probability, its log, running sum
 
-    def numbers(self, words: list[list[str]]) -> list[list[int]]:
+    def numbers(self, words: list[list[str]]) -> list[np.ndarray]:
         """The number of each word; lattices of new ones are added."""
-        every = {w for ws in words for w in ws}
-        new = [w for w in every if w not in self.known]
-        if self.known and len(self.signs) + sum(map(len, new)) > self.limit:
+        for again in (False, True):
+            had, get = len(self.known), self.known.__getitem__
+            out = [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in words]
+            new = self.known.new
+            if again or not had or len(self.signs) + sum(map(len, new)) <= self.limit:
+                break
             self._clear()
-            new = list(every)
         if new:
-            for w in new:
-                self.known[w] = len(self.known)
             self._add(new)
-        get = self.known.__getitem__
-        return [list(map(get, ws)) for ws in words]
+            self.known.new = []
+        return out
 
     def _add(self, words: list[str]) -> None:
         model = self.model
@@ -214,8 +226,10 @@ class Lattices:
         here, begin = self.end[word], self.start[word]
         logp, number = np.zeros(len(word)), np.zeros(len(word), np.int64)
         steps, active, step = [], np.arange(len(word)), 0
+        state = _spread(seed + index.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _u64(turn * 0xD1B54A32D192ED03))
         while len(active):
-            u = uniforms(seed, index, turn * 65537 + step)
+            u = (state >> np.uint64(11)) * 2.0**-53
+            state = state * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
             o = self.first[here]
             miss = np.flatnonzero(u >= self.upto[o])
             while len(miss):
@@ -229,7 +243,7 @@ class Lattices:
             number[active] += 1
             here = here - self.length[o]
             on = here >= begin
-            here, begin, active, seed, index = here[on], begin[on], active[on], seed[on], index[on]
+            here, begin, active, state = here[on], begin[on], active[on], state[on]
             step += 1
         ends = np.cumsum(number)
         ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
@@ -324,7 +338,7 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, sample
     model = lattices.model
     words = lattices.numbers([_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
     count = np.array([len(w) for w in words], np.int64)
-    flat = np.array([w for ws in words for w in ws], np.int64)
+    flat = np.concatenate(words) if words else np.empty(0, np.int64)
     begin = np.cumsum(count) - count
     index = np.arange(len(flat)) - np.repeat(begin, count)
     ids, number, logp = lattices.draw(flat, np.repeat(seeds, count), index, 0)
