@@ -29,18 +29,22 @@ class Encoder:
     """A tokenizer whose ids of pre-tokens (of words, in other alphabets) are kept, up to `limit` of them.
 
     Only for tokenizers that lower-case, drop white space and split by the pattern of word_bpe_49k.json, so that a
-    text's ids are those of its parts.
+    text's ids are those of its parts. Texts that may hold an added token (<|endoftext|>) are encoded whole.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.ids = Tokenizer.from_file(path), limit, {}
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # in any case, as an added token may be sought in the normalised text
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text as little-endian uint32."""
+        if self.added and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         if text.isascii() or not _BEYOND.search(text):
             words = _PRETOKEN.findall(text.lower())
         elif _SPACE.search(text):  # Python splits there, the tokenizer does not

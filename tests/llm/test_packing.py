@@ -77,3 +77,16 @@ def test_repeats_and_empty(spark):
     got = pack_documents(df, PATH).collect()
     assert len(got) == 3 and sorted(r["offset"] for r in got) == [0, 2, 4]
     assert pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_added_tokens_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(PATH)
+    texts = ["x <|endoftext|> y", "<|startoftext|>", "a<|endoftext|>b\x1cc <|startoftext|>", "x <|ENDOFTEXT|> y", "한 <|endoftext|> é", "<|endoftext |>", "plain"]
+    ids = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [343, 49407, 344]
+    e = Encoder(PATH)
+    assert [e.encode(t).tolist() for t in texts] == ids
+    got = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in got} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for i, x in enumerate(ids)}
