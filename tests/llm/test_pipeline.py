@@ -63,3 +63,23 @@ def test_empty(spark, docs):
     for _, stage in cp.STAGES:
         none = stage(spark, none, "")
     assert none.count() == 0
+
+
+def test_null_and_repeated_ids_are_decided_by_row(spark):
+    a, b, c, d = (prose(900 + i, 100) for i in range(4))
+    rows = [(None, a), (None, b), (None, "$$$ ### " * 60)]  # null ids: kept, kept, rejected
+    rows += [(5, c), (5, c), (5, c.upper()), (None, c)]  # the same row twice, and copies: one stays
+    rows += [(6, d), (6, "$$$ ### " * 70), (6, d + " one more"), (7, d + " or more"), (None, d + " one less")]  # one id, several texts
+    rows = [(i, t, "en", "s", 0) for i, t in rows] + [(100 + i, prose(i, 80 + i), "en", "s", 0) for i in range(1, 40)]
+    rows += [(200 + i, "$$$ ### " * (60 + i), "en", "s", 0) for i in range(20)] + [(300 + i, f"spam{i} spam{i} " * 80, "en", "s", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = []
+    for _, stage in cp.STAGES[:3]:
+        columns, docs = docs.columns, stage(spark, docs, "").localCheckpoint()
+        assert docs.columns == columns
+        kept.append([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is None or r["doc_id"] < 100])
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert len(kept[0]) == 10 and not any("$" in t for _, t in kept[0])
+    assert len(kept[1]) == 7 and sum(i == 5 for i, _ in kept[1]) == 1
+    got = sorted(kept[2], key=key)
+    assert [i for i, _ in got] == [5, 6, None, None] and got[0][1].lower() == c.lower() and got[1][1] in (d, d + " one more") and {t for _, t in got[2:]} == {a, b}
