@@ -132,6 +132,13 @@ def test_root_causes(spark):
     assert got == [("https://a.com/d/x/1", 3, "r", "/"), ("https://b.com/z", 1, "unknown", "/z"), ("https://c.com/k/1", 3, "a", "/k"), ("https://c.com/m", 1, "d", "/m")]
 
 
+def test_root_causes_of_a_long_chain(spark):
+    # target i shares its locus with one neighbour and its prefix with the other
+    rows = [("s", f"https://a.com/d/x{(i + 1) // 2}/{i:03d}", "a.com", f"/d/x{(i + 1) // 2}/{i:03d}", f"L{i // 2}", "r") for i in range(200)]
+    df = spark.createDataFrame(rows, "site string, norm_url string, host string, path string, locus string, defect string").coalesce(1)
+    assert [(r["cause"], r["n_targets"]) for r in K.root_causes(df, crowd=9).collect()] == [("https://a.com/d/x0/000", 200)]
+
+
 def test_moved_to_sibling(spark):
     dead = spark.createDataFrame([("u", "docs.a.com", "/p"), ("v", "a.com", "/q")], "norm_url string, host string, path string")
     alive = spark.createDataFrame([("www.a.com", "/p"), ("api.a.com", "/p"), ("b.com", "/q")], "host string, path string")
