@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -75,8 +75,8 @@ OTHER = (
     "He obtained a copy of the file in the mail",
 )
 
-#: A paragraph without any of these has no licence class, whatever its other words.
-CUE = r"(?i)licen[cs]e|permission is hereby|redistribution and use|free software|rights reserved|all copyright|proprietary and"
+#: Words so frequent that the gate avoids them where it can; only speed hangs on this.
+FREQUENT = frozenset("a and are as at by for he in is it of on or she that the this to was with".split())
 UNKNOWN = "unknown"
 
 
@@ -137,47 +137,120 @@ def score_words(text: str, model) -> tuple[str, float]:
     return classes[int(p.argmax())], float(p.max())
 
 
+def gate_words(model) -> list[str]:
+    """Words of which a text must hold one for any family to score above unknown; derived from the weights.
+
+    A family wins only if its grams' margins over unknown add up to more than the gap of the biases times the root of
+    the number of distinct grams. Words are taken until the margins of all grams without them, largest first, stay
+    below that for every number of grams. So no text without these words can win, whatever else it holds.
+    """
+    weights, bias, classes, _ = model
+    names = [str(g).split() for g in weights]
+    w, b = np.array(list(weights.values())), np.array(bias)
+    margins, gaps = np.maximum(w[:, :-1] - w[:, -1:], 0), b[-1] - b[:-1]
+    if (gaps <= 0).any():
+        raise ValueError("a family wins without any gram")
+    live, taken = np.ones(len(names), bool), []
+    while True:
+        most = np.cumsum(-np.sort(-margins[live], axis=0), axis=0)
+        open_ = np.flatnonzero((most >= gaps * np.sqrt(np.arange(1, len(most) + 1))[:, None] - 1e-6).any(axis=0))
+        if not len(open_):
+            return taken
+        gain: dict[str, float] = {}
+        for i in np.flatnonzero(live):
+            for x in set(names[i]):
+                gain[x] = gain.get(x, 0.0) + margins[i, open_].sum() * (1e-6 if x in FREQUENT else 1)
+        taken.append(max(sorted(gain), key=gain.get))
+        live &= np.array([taken[-1] not in g for g in names])
+
+
 def _tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
 
 
+def _grams_of(c: Column) -> Column:
+    w = _tokens(c)
+    pairs = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", w[i], x))
+    return F.array_distinct(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+
+
+def _reach(most: int, ok, step: int) -> Column:
+    """The last position from `at` in steps of `step` up to which all lines of ls are ok and those passed have at most `most` words."""
+    steps = F.sequence(F.lit(1), F.lit(most + 1))
+
+    def on(acc: Column, k: Column) -> Column:
+        x = F.get("ls", F.col("at") + k * step)
+        return F.when(acc["go"] & (acc["words"] <= most) & F.coalesce(ok(x), F.lit(False)), F.struct(F.lit(True).alias("go"), (acc["words"] + F.size(_tokens(x))).alias("words"), (F.col("at") + k * step).alias("to"))).otherwise(
+            F.struct(F.lit(False).alias("go"), acc["words"].alias("words"), acc["to"].alias("to"))
+        )
+
+    return F.aggregate(steps, F.struct(F.lit(True).alias("go"), F.lit(0).alias("words"), F.col("at").alias("to")), on, lambda acc: acc["to"])
+
+
 def scan_licenses(docs: DataFrame, *, least: float = 0.5, agree: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per licence paragraph: id, paragraph (from 0), family, score, similarity, confirmed.
+    """One row per licence paragraph: id, paragraph (its first line, from 0), family, score, similarity, confirmed.
 
-    A paragraph is a line. Those with a cue (no class is possible without one) are scored by the classifier: the sum
-    of the weights of their distinct words and word pairs over the root of their number, a softmax at the calibrated
-    temperature. Below `least`, or where the unknown class wins, the family is `unknown`. A prediction is confirmed
-    where the paragraph holds at least `agree` of the words and pairs of one of its family's templates (similarity).
+    A paragraph is a line, or a notice wrapped over neighbouring lines without a blank one between them (one without
+    letters and digits, as a bare comment sign). It is scored by the classifier: the sum of the weights of its distinct
+    words and word pairs over the root of their number, a softmax at the calibrated temperature. A line has a row where
+    a family beats the unknown class; below `least` the family is `unknown`. A prediction is confirmed where the
+    paragraph holds at least `agree` of the words and pairs of one of its family's templates (similarity). Several
+    lines have a row only if confirmed. Of confirmed paragraphs that overlap, the most similar stays, then that of
+    fewest lines; lines inside have no rows of their own. Between its first and last line, a notice may have twice as
+    many words as the longest template.
 
-    The main path is made of DataFrame operations: one scan that explodes only lines with a cue, a join with the
-    broadcast weights (bounded by the templates), a sum by paragraph. Null and empty texts have no rows; repeated rows
-    are scanned each; a null id is passed through.
+    No text can be of a family without one of `gate_words`, so only lines with one, and what is around them, are scored.
+    The main path is made of DataFrame operations: one scan, a join with the broadcast weights (bounded by the
+    templates), a sum by paragraph. Null and empty texts have no rows; repeated rows are scanned each; a null id is
+    passed through.
     """
-    weights, bias, classes, t = train_licenses()
+    model = train_licenses()
+    weights, bias, classes, t = model
     spark = docs.sparkSession
-    lines = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(CUE))
-    lines = lines.select("id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(CUE))
-    # equal lines are scored once, however many documents hold them
-    lines = lines.select("id", F.col("paragraph").cast("long").alias("paragraph"), F.lower("line").alias("line"))
-    found = stored(lines, "licences")
-    once = found.select("line").distinct()
-    w = _tokens(F.col("line"))
-    grams = F.array_distinct(F.concat(w, F.when(F.size(w) > 1, F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", w[i], x))).otherwise(F.array().cast("array<string>"))))
-    grams = once.select("line", grams.alias("grams"))
+    gate = f"(?<![a-z0-9])(?:{'|'.join(sorted(gate_words(model)))})(?![a-z0-9])"
+    most = 2 * max(len(words(x)) for xs in TEMPLATES.values() for x in xs)
+    shaped = [(f, sorted(_grams(words(x)))) for f, xs in TEMPLATES.items() for x in xs]
+    shapes = F.array(*[F.struct(F.lit(f).alias("f"), F.array(*map(F.lit, g)).alias("g")) for f, g in shaped])
+    known = F.array(*map(F.lit, sorted({x for _, g in shaped for x in g})))
+    share = lambda s, held: F.size(F.array_intersect(s["g"], held)) / F.size(s["g"])
+
+    low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).filter(F.col("text").rlike(gate))
+    lines = low.select("id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("ls"))
+    at = F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(gate), i)), lambda i: i.isNotNull())
+    lines = lines.select("id", "row", "ls", F.explode(at).alias("at"))
+    # each start belongs to the first line with a gate word that is not before it
+    filled = lambda x: x.rlike("[a-z0-9]")
+    lines = lines.withColumn("lo", _reach(most, lambda x: filled(x) & ~x.rlike(gate), -1)).withColumn("hi", _reach(most, filled, 1))
+    lines = lines.select("id", "row", "at", "lo", F.get("ls", F.col("at")).alias("line"), F.slice("ls", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1).alias("near"))
+    lines = lines.withColumn("held", F.when(F.size("near") > 1, F.array_intersect(known, _grams_of(F.array_join("near", " ")))))
+    # what all lines together do not hold, no part of them holds
+    may = F.exists(shapes, lambda s: share(s, F.col("held")) >= agree)
+    found = stored(lines.withColumn("near", F.when(may, F.col("near"))).drop("held"), "licences")
+    ends = found.filter("near is not null").select("id", "row", "at", "lo", "near", F.explode(F.sequence("lo", "at")).alias("s"))
+    ends = ends.select("*", F.explode(F.sequence("at", F.col("lo") + F.size("near") - 1)).alias("e")).filter("e > s")
+    several = ends.select("id", "row", "s", "e", F.array_join(F.slice("near", F.col("s") - F.col("lo") + 1, F.col("e") - F.col("s") + 1), " ").alias("line"))
+    pieces = found.select("id", "row", F.col("at").alias("s"), F.col("at").alias("e"), "line").union(several)
+
+    # equal texts are scored once, however many documents hold them
+    grams = stored(pieces.select("line").distinct().withColumn("grams", _grams_of(F.col("line"))), "licence-grams")
     table = spark.createDataFrame([(g, v) for g, v in sorted(weights.items())], "gram string, w array<double>")
     parts = grams.select("line", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
     z = parts.groupBy("line", "n").agg(*[F.sum(F.element_at("w", k + 1)).alias(f"z{k}") for k in range(len(classes))])
     logit = F.array(*[(F.lit(b) + F.col(f"z{k}") / F.sqrt("n")) / F.lit(t) for k, b in enumerate(bias)])
     best = z.select("line", logit.alias("z")).withColumn("top", F.array_max("z"))
-    best = best.select("line", F.element_at(F.array(*map(F.lit, classes)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("score"))
-    shapes = F.array(*[F.struct(F.lit(f).alias("f"), F.array(*map(F.lit, sorted(_grams(words(x))))).alias("g")) for f, xs in TEMPLATES.items() for x in xs])
-    same = F.transform(F.filter(shapes, lambda s: s["f"] == F.col("family")), lambda s: F.size(F.array_intersect(s["g"], F.col("grams"))) / F.size(s["g"]))
-    judged = grams.join(best, "line").select("line", F.when(F.col("score") >= least, F.col("family")).otherwise(UNKNOWN).alias("family"), "score", F.coalesce(F.array_max(same), F.lit(0.0)).alias("similarity"))
-    return found.join(judged, "line", "left").select(
-        F.col("id").alias(id_col),
-        "paragraph",
-        F.coalesce("family", F.lit(UNKNOWN)).alias("family"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
-        ((F.col("family") != UNKNOWN) & (F.col("similarity") >= agree)).alias("confirmed"),
-    )
+    best = best.select("line", F.element_at(F.array(*map(F.lit, classes)), F.array_position("z", F.col("top")).cast("int")).alias("first"), (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("score"))
+    same = F.transform(F.filter(shapes, lambda s: s["f"] == F.col("first")), lambda s: share(s, F.col("grams")))
+    judged = grams.join(best.filter(F.col("first") != UNKNOWN), "line").select("line", F.when(F.col("score") >= least, F.col("first")).otherwise(UNKNOWN).alias("family"), "score", F.coalesce(F.array_max(same), F.lit(0.0)).alias("similarity"))
+    judged = judged.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("similarity") >= agree))
+    got = pieces.join(judged, "line").filter("confirmed or s = e")
+
+    # those that overlap, directly or through others, are one group
+    by = Window.partitionBy("row").orderBy("s", "e")
+    got = got.withColumn("new", F.coalesce(F.col("s") > F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    got = got.withColumn("group", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = F.struct((~F.col("confirmed")).alias("no"), (-F.col("similarity")).alias("less"), (F.col("e") - F.col("s")).alias("more"), "s", "e", "family", "score", "similarity", "confirmed")
+    groups = got.groupBy("row", "group").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(rank)).alias("all"))
+    overlaps = lambda acc, x: F.exists(acc, lambda y: (y["s"] <= x["e"]) & (x["s"] <= y["e"]))
+    chosen = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(overlaps(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    out = groups.select("id", F.explode(chosen).alias("p"))
+    return out.select(F.col("id").alias(id_col), F.col("p.s").cast("long").alias("paragraph"), "p.family", "p.score", "p.similarity", "p.confirmed")

@@ -110,3 +110,35 @@ def test_licence_scan_equals_the_model(spark, model):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
     plan = licenses.scan_licenses(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+WRAPPED = {
+    "mit": "The MIT License (MIT)\n\nCopyright (c) 2020 A. Writer\n\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction, including without limitation the rights\n# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n# copies of the Software, and to permit persons to whom the Software is\n# furnished to do so, subject to the following conditions:",
+    "bsd": "Copyright (c) 2020, A. Writer\n\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n *\n * 1. Redistributions of source code must retain the above copyright notice",
+    "gpl-3.0": "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.\n//\n// This program is distributed in the hope that it will be useful,",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    df = spark.createDataFrame([(f, x) for f, x in WRAPPED.items()] + [("prose", "He was granted\na copy of the work,\nfree of charge")], "doc_id string, text string")
+    got = {}
+    for r in licenses.scan_licenses(df).collect():
+        if r["confirmed"]:
+            got.setdefault(r["doc_id"], []).append(r["family"])
+    assert {k: set(v) for k, v in got.items()} == {k: {k} for k in WRAPPED}
+
+
+def test_every_template_is_found(spark):
+    rows = [(f, x) for f, xs in licenses.TEMPLATES.items() for x in xs] + [("cc-by-4.0", "Creative Commons Attribution 4.0 International License")]
+    df = spark.createDataFrame([(i, f"first\n{x}\nlast") for i, (_, x) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["family"], r["paragraph"], r["confirmed"]) for r in licenses.scan_licenses(df).collect()}
+    # the last is no template and too short a part of one to be confirmed
+    assert got == {i: (f, 1, i < len(rows) - 1) for i, (f, _) in enumerate(rows)}
+
+
+def test_nothing_without_gate_words_wins(model):
+    gate = set(licenses.gate_words(model))
+    rng = random.Random(5)
+    left = sorted({x for g in model[0] for x in g.split()} - gate)
+    for _ in range(3000):
+        assert licenses.score_words(" ".join(rng.choice(left) for _ in range(rng.randint(1, 40))), model)[0] == "unknown"
