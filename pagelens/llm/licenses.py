@@ -220,12 +220,15 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.5, agree: float = 0.6, id
     lines = lines.select("id", "row", "ls", F.explode(at).alias("at"))
     # each start belongs to the first line with a gate word that is not before it
     filled = lambda x: x.rlike("[a-z0-9]")
-    lines = lines.withColumn("lo", _reach(most, lambda x: filled(x) & ~x.rlike(gate), -1)).withColumn("hi", _reach(most, filled, 1))
-    lines = lines.select("id", "row", "at", "lo", F.get("ls", F.col("at")).alias("line"), F.slice("ls", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1).alias("near"))
-    lines = lines.withColumn("held", F.when(F.size("near") > 1, F.array_intersect(known, _grams_of(F.array_join("near", " ")))))
+    # bound in a lambda or stored, so that no expression is computed once for each of its uses
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    reach = F.struct(_reach(most, lambda x: filled(x) & ~x.rlike(gate), -1).alias("lo"), _reach(most, filled, 1).alias("hi"))
+    around = bound(reach, lambda r: F.struct(r["lo"].alias("lo"), F.slice("ls", r["lo"] + 1, r["hi"] - r["lo"] + 1).alias("near")))
+    lines = stored(lines.select("id", "row", "at", F.get("ls", F.col("at")).alias("line"), around.alias("c")), "licence-lines")
+    lines = lines.select("id", "row", "at", "line", F.col("c.lo").alias("lo"), F.col("c.near").alias("near"))
     # what all lines together do not hold, no part of them holds
-    may = F.exists(shapes, lambda s: share(s, F.col("held")) >= agree)
-    found = stored(lines.withColumn("near", F.when(may, F.col("near"))).drop("held"), "licences")
+    may = bound(F.array_intersect(known, _grams_of(F.array_join("near", " "))), lambda held: F.exists(shapes, lambda s: share(s, held) >= agree))
+    found = stored(lines.withColumn("near", F.when((F.size("near") > 1) & may, F.col("near"))), "licences")
     ends = found.filter("near is not null").select("id", "row", "at", "lo", "near", F.explode(F.sequence("lo", "at")).alias("s"))
     ends = ends.select("*", F.explode(F.sequence("at", F.col("lo") + F.size("near") - 1)).alias("e")).filter("e > s")
     several = ends.select("id", "row", "s", "e", F.array_join(F.slice("near", F.col("s") - F.col("lo") + 1, F.col("e") - F.col("s") + 1), " ").alias("line"))
