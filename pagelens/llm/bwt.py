@@ -1,7 +1,7 @@
 """Burrows-Wheeler transforms of shards of strings, merged by iterative interleave refinement.
 
-The alphabet are the substrings of STRIDE bytes (as 15 bits of a hash; the full window is compared once more at the
-end, by 64 bits), and a suffix is followed by the one STRIDE bytes later. So a context of 100 bytes is four symbols, and four rounds of refinement order all suffixes by it.
+The alphabet are the substrings of STRIDE bytes (as 15 bits of a hash; windows of an interval are compared once more at
+the end, by 64 bits and then byte by byte), and a suffix is followed by the one STRIDE bytes later. So a context of 100 bytes is four symbols, and four rounds of refinement order all suffixes by it.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, window: int = 100, sha
     byte, interval = (place - owner)[whole], interval[whole]
     if not len(byte):
         return byte, interval
-    full = rolling(data, window)[byte]  # two symbols may have met in 15 bits: look at all bytes again
+    full = rolling(data, window)[byte]  # symbols may have met in 15 bits
     differ = (interval[1:] == interval[:-1]) & (full[1:] != full[:-1])
     if differ.any():
         mixed = np.flatnonzero(np.isin(interval, interval[1:][differ]))
@@ -135,4 +135,27 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, window: int = 100, sha
         new = np.ones(len(byte), bool)
         new[1:] = (interval[1:] != interval[:-1]) | (full[1:] != full[:-1])
         interval = np.cumsum(new, dtype=np.int32)
-    return byte, interval
+    return by_bytes(data, byte, interval, window)
+
+
+def by_bytes(data: np.ndarray, byte: np.ndarray, interval: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The intervals of windows at `byte` after a look at their bytes: those that differ are parted.
+
+    Each window is compared with the one before it in its interval. Where both follow windows just compared with each
+    other, only their last bytes are new.
+    """
+    same = np.flatnonzero(interval[1:] == interval[:-1]) + 1
+    q, p = byte[same - 1], byte[same]
+    partner = np.full(len(data) + 1, -2, np.int64)
+    partner[p] = q
+    equal = data[p + window - 1] == data[q + window - 1]
+    heads = np.flatnonzero((p == 0) | (partner[p - 1] != q - 1))
+    for k in range(window - 1):
+        equal[heads] &= data[p[heads] + k] == data[q[heads] + k]
+    if equal.all():
+        return byte, interval
+    bad = np.isin(interval, interval[same[~equal]])
+    content = [data[b : b + window].tobytes() if x else b"" for b, x in zip(byte.tolist(), bad.tolist(), strict=True)]
+    order = sorted(range(len(byte)), key=lambda i: (interval[i], content[i], byte[i]))
+    new = [0, *(int(interval[i] != interval[j] or content[i] != content[j]) for j, i in zip(order, order[1:], strict=False))]
+    return byte[order], np.cumsum(new, dtype=np.int32)

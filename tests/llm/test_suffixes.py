@@ -52,6 +52,28 @@ def test_hot_passage(spark):
     assert {r[0]: tuple(r)[1:5] for r in remove_repeats(df).collect()} == brute(rows)
 
 
+def test_crowded_anchors_give_the_same(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: tuple(r)[1:5] for r in remove_repeats(df, anchor_bytes=600).collect()} == brute(rows)
+
+
+def test_long_text_and_repeated_rows(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
+    rows = [(1, long), (2, long[400_000:900_000]), (3, "y" * 50 + long[-300:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: tuple(r)[1:5] for r in remove_repeats(df).collect()} == brute(rows)
+    twice = remove_repeats(df.filter("doc_id = 2").union(df.filter("doc_id = 2"))).collect()
+    assert [r["n_removed"] for r in twice] == [0, 0]
+
+
+def test_windows_that_only_share_a_hash_are_parted():
+    data = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, np.uint8)
+    byte, interval = bwt.by_bytes(data, np.array([0, 100, 200]), np.array([1, 1, 1], np.int32), 100)
+    assert byte[interval == interval[0]].tolist() == [0, 200] and len(set(interval.tolist())) == 2
+
+
 def test_empty_and_null_id(spark):
     df = spark.createDataFrame([(None, "q" * 300), (1, "q" * 99), (2, "")], "doc_id long, text string")
     assert {r[0]: r["n_removed"] for r in remove_repeats(df).collect()} == {None: 0, 1: 0, 2: 0}
