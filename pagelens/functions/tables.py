@@ -94,3 +94,21 @@ SOCIAL_HOSTS = (
     "x.com twitter.com linkedin.com www.linkedin.com facebook.com www.facebook.com youtube.com www.youtube.com instagram.com www.instagram.com"
     " discord.com discord.gg join.slack.com reddit.com www.reddit.com mastodon.social bsky.app"
 ).split()
+
+# What changes from request to request in a page's lower-cased text, the most specific first: time stamps, UUIDs, long hex,
+# base64, epoch seconds, cache-busting queries.
+VOLATILE = (
+    r"\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:z|[+-]\d{2}:?\d{2})?",
+    r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
+    r"\b[0-9a-f]{16,}\b",
+    r"\b[A-Za-z0-9+/]{24,}={0,2}\b",
+    r"\b1[6-9]\d{8,11}\b",
+    r"[?&](?:v|ver|version|t|ts|hash|build|_)=[^\s\"'&]+",
+)
+
+# List-like elements, code elements, class words that a build makes up, class words of regions.
+LIST_TAGS = frozenset({"ul", "ol", "nav", "table", "tbody", "dl", "menu"})
+CODE_TAGS = frozenset({"code", "pre", "kbd", "samp"})
+CLASS_HASH = r"^(?:[a-z]+[-_])?[0-9a-f]{5,}$|^css-[0-9a-z]+$|^[a-z]+[-_][a-z0-9]+__[a-z0-9]{5,}$"
+PROMINENT_CLASSES = r"pricing|plan|tier|package|card|cta|hero|banner|nav|navbar|header|topbar|pill|button|btn"
+FOOTER_CLASSES = r"footer|social|legal|copyright|colophon|bottom"
