@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -77,6 +78,7 @@ OTHER = (
 
 #: Words so frequent that the gate avoids them where it can; only speed hangs on this.
 FREQUENT = frozenset("a and are as at by for he in is it of on or she that the this to was with".split())
+COMMON = FREQUENT | frozenset("any can may mit under without".split())
 UNKNOWN = "unknown"
 
 
@@ -88,6 +90,7 @@ def _grams(w: list[str]) -> set[str]:
     return set(w) | {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
 
 
+@functools.cache
 def train_licenses(seed: int = 3, noise: int = 12) -> tuple[dict[str, list[float]], list[float], list[str], float]:
     """Weights by word n-gram, biases, classes and temperature, from the templates alone (a bounded, fixed sample).
 
@@ -137,6 +140,26 @@ def score_words(text: str, model) -> tuple[str, float]:
     return classes[int(p.argmax())], float(p.max())
 
 
+@functools.cache
+def _default_gate() -> tuple[str, ...]:
+    return tuple(gate_words(train_licenses()))
+
+
+def notice_words(text: str, agree: float) -> tuple[list[str], int, list[str]]:
+    """Of a template: its words, how many of them a text needs to hold `agree` of its words and pairs, and words of which it so needs one.
+
+    The pairs form a connected graph over the words with r edges more than a tree, so n words hold at most n - 1 + r
+    pairs. A text with too few words for `agree` of both cannot be confirmed, whatever pairs it holds.
+    """
+    w = words(text)
+    unique, pairs = sorted(set(w)), set(zip(w, w[1:], strict=False))
+    need = agree * len(_grams(w)) - 1e-9
+    spare = len(pairs) - len(unique) + 1
+    least = next(n for n in range(1, len(unique) + 1) if n + min(len(pairs), n - 1 + spare) >= need)
+    rare = sorted(unique, key=lambda x: (x in COMMON, -len(x), x))
+    return unique, least, rare[: len(unique) - least + 1]
+
+
 def gate_words(model) -> list[str]:
     """Words of which a text must hold one for any family to score above unknown; derived from the weights.
 
@@ -164,14 +187,37 @@ def gate_words(model) -> list[str]:
         live &= np.array([taken[-1] not in g for g in names])
 
 
+def _any_word(ws) -> str:
+    """A regular expression for any of some words, standing alone. Common beginnings are shared, so that few alternatives are tried at each place."""
+
+    def branch(xs: list[str]) -> str:
+        if xs == [""]:
+            return ""
+        heads: dict[str, list[str]] = {}
+        for x in xs:
+            heads.setdefault(x[:1], []).append(x[1:])
+        parts = [h + branch(sorted(set(r))) for h, r in sorted(heads.items(), reverse=True) if h]
+        body = parts[0] if len(parts) == 1 and "" not in heads else f"(?:{'|'.join(parts)})"
+        return f"(?:{body})?" if "" in heads else body
+
+    return f"(?<![a-z0-9]){branch(sorted(set(ws)))}(?![a-z0-9])"
+
+
 def _tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
 
 
+def _bound(c: Column, f) -> Column:
+    """f of a column that is computed once, however often f uses it (also inside lambdas)."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _grams_of(c: Column) -> Column:
-    w = _tokens(c)
-    pairs = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", w[i], x))
-    return F.array_distinct(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+    def grams(w: Column) -> Column:
+        pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+        return F.array_distinct(F.concat(w, pairs))
+
+    return _bound(_tokens(c), grams)
 
 
 def _reach(most: int, ok, step: int) -> Column:
@@ -199,7 +245,8 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.5, agree: float = 0.6, id
     fewest lines; lines inside have no rows of their own. Between its first and last line, a notice may have twice as
     many words as the longest template.
 
-    No text can be of a family without one of `gate_words`, so only lines with one, and what is around them, are scored.
+    No text can be of a family without one of `gate_words`, so only lines with one are scored; what is around them is only looked
+    at in texts with enough words of a template for it to be confirmed at all (`notice_words`). Both follow from the model and the templates and lose nothing.
     The main path is made of DataFrame operations: one scan, a join with the broadcast weights (bounded by the
     templates), a sum by paragraph. Null and empty texts have no rows; repeated rows are scanned each; a null id is
     passed through.
@@ -207,27 +254,33 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.5, agree: float = 0.6, id
     model = train_licenses()
     weights, bias, classes, t = model
     spark = docs.sparkSession
-    gate = f"(?<![a-z0-9])(?:{'|'.join(sorted(gate_words(model)))})(?![a-z0-9])"
+    gate = _any_word(_default_gate())
     most = 2 * max(len(words(x)) for xs in TEMPLATES.values() for x in xs)
+    # a literal list as one string: thousands of literals would take seconds to plan
+    listed = lambda xs: F.split(F.lit("|".join(xs)), r"\|")
     shaped = [(f, sorted(_grams(words(x)))) for f, xs in TEMPLATES.items() for x in xs]
-    shapes = F.array(*[F.struct(F.lit(f).alias("f"), F.array(*map(F.lit, g)).alias("g")) for f, g in shaped])
-    known = F.array(*map(F.lit, sorted({x for _, g in shaped for x in g})))
+    shapes = F.array(*[F.struct(F.lit(f).alias("f"), listed(g).alias("g")) for f, g in shaped])
+    known = listed(sorted({x for _, g in shaped for x in g}))
     share = lambda s, held: F.size(F.array_intersect(s["g"], held)) / F.size(s["g"])
+    notices = [notice_words(x, agree) for xs in TEMPLATES.values() for x in xs]
+    needs = F.array(*[F.struct(listed(u).alias("u"), F.lit(n).alias("n")) for u, n, _ in notices])
+    all_words = listed(sorted({x for u, _, _ in notices for x in u}))
+    holds = _bound(F.array_intersect(all_words, _tokens(F.col("text"))), lambda held: F.exists(needs, lambda s: F.size(F.array_intersect(s["u"], held)) >= s["n"]))
+    wrapped = F.col("text").rlike(_any_word({x for _, _, rare in notices for x in rare})) & holds
 
     low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).filter(F.col("text").rlike(gate))
-    lines = low.select("id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("ls"))
+    lines = low.select("id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("ls"), wrapped.alias("wrapped"))
     at = F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(gate), i)), lambda i: i.isNotNull())
-    lines = lines.select("id", "row", "ls", F.explode(at).alias("at"))
+    lines = lines.select("id", "row", "wrapped", F.when(F.col("wrapped"), F.col("ls")).alias("around"), F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.get("ls", i).alias("line")))).alias("x"))
+    lines = lines.select("id", "row", "wrapped", F.col("around").alias("ls"), F.col("x.at").alias("at"), F.col("x.line").alias("line"))
     # each start belongs to the first line with a gate word that is not before it
     filled = lambda x: x.rlike("[a-z0-9]")
-    # bound in a lambda or stored, so that no expression is computed once for each of its uses
-    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
     reach = F.struct(_reach(most, lambda x: filled(x) & ~x.rlike(gate), -1).alias("lo"), _reach(most, filled, 1).alias("hi"))
-    around = bound(reach, lambda r: F.struct(r["lo"].alias("lo"), F.slice("ls", r["lo"] + 1, r["hi"] - r["lo"] + 1).alias("near")))
-    lines = stored(lines.select("id", "row", "at", F.get("ls", F.col("at")).alias("line"), around.alias("c")), "licence-lines")
+    around = _bound(reach, lambda r: F.struct(r["lo"].alias("lo"), F.slice("ls", r["lo"] + 1, r["hi"] - r["lo"] + 1).alias("near")))
+    lines = stored(lines.select("id", "row", "at", "line", F.when(F.col("wrapped"), around).alias("c")), "licence-lines")
     lines = lines.select("id", "row", "at", "line", F.col("c.lo").alias("lo"), F.col("c.near").alias("near"))
     # what all lines together do not hold, no part of them holds
-    may = bound(F.array_intersect(known, _grams_of(F.array_join("near", " "))), lambda held: F.exists(shapes, lambda s: share(s, held) >= agree))
+    may = _bound(F.array_intersect(known, _grams_of(F.array_join("near", " "))), lambda held: F.exists(shapes, lambda s: share(s, held) >= agree))
     found = stored(lines.withColumn("near", F.when((F.size("near") > 1) & may, F.col("near"))), "licences")
     ends = found.filter("near is not null").select("id", "row", "at", "lo", "near", F.explode(F.sequence("lo", "at")).alias("s"))
     ends = ends.select("*", F.explode(F.sequence("at", F.col("lo") + F.size("near") - 1)).alias("e")).filter("e > s")
