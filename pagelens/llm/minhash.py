@@ -153,6 +153,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, share: tuple[int, int], size:
     return joined.mapInArrow(check, pairs.select("a", "b").schema)
 
 
+def _join_by_key(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with one row a key, without dealing a hot key's rows to one task.
+
+    Keys with more than a 2000th of all rows (`size` tells) are 2000 at most; their rows of groups are broadcast. The others go through a plain join.
+    """
+    most = max(1000, total // 2000)
+    hot = F.broadcast(groups.filter(F.col(size) > most).drop(size))
+    cold = groups.filter(F.col(size) <= most).drop(size)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how), allowMissingColumns=True)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -185,12 +196,14 @@ def near_duplicates(
     hasher = Hasher(bands, rows)
     least = share[0] / share[1] - margin
     sig = stored(signatures(docs, hasher, size, id_col, text_col), "signatures")
-    same = sig.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    who = sig.select("id", "n", "h1", "h2").join(same, ["n", "h1", "h2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
-    reps = sig.filter("n > 0 and id is not null").join(same, ["n", "h1", "h2"], "left").filter("rep is null or rep = id")
+    same = sig.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    same, total = stored(same, "same"), sig.count()
+    who = _join_by_key(sig.select("id", "n", "h1", "h2"), same, ["n", "h1", "h2"], "c", total, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
+    reps = _join_by_key(sig.filter("n > 0 and id is not null"), same, ["n", "h1", "h2"], "c", total, "left").filter("rep is null or rep = id")
     keyed = reps.select(F.explode("keys").alias("key"), F.col("id").alias("b"), *SKETCH)
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    members = stored(keyed.join(sizes, "key"), "members")
+    sizes = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "sizes")
+    n_keyed = sizes.agg(F.sum("c")).first()[0] or 0
+    members = stored(_join_by_key(keyed, sizes.withColumn("size", F.col("c")), ["key"], "size", n_keyed), "members")
     weight = members.groupBy("b").agg((F.shiftleft(F.sum("c"), 20) + F.pmod(F.xxhash64("b"), F.lit(1 << 20))).alias("w"))
     members = stored(members.drop("c").join(weight, "b"), "members")
     texts = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(weight.select(F.col("b").alias("id")), "id", "left_semi"), "texts")
@@ -214,7 +227,7 @@ def near_duplicates(
         else:
             w = F.xxhash64("b", F.lit(turn)) if turn else F.col("w")  # first the heaviest member, then any
             pick = [F.max_by("b", w).alias("a"), F.max_by("comp", w).alias("acomp"), *(F.max_by(s, w).alias(f"a{s}") for s in SKETCH)]
-            pairs = at.join(at.groupBy("key").agg(*pick), "key").filter((F.col("comp") != F.col("acomp")) & _close(hasher, least, "s", "as")).select("a", "b")
+            pairs = _join_by_key(at, stored(at.groupBy("key").agg(*pick, F.count(F.lit(1)).alias("size")), "pivots"), ["key"], "size", n_keyed).filter((F.col("comp") != F.col("acomp")) & _close(hasher, least, "s", "as")).select("a", "b")
         new = stored(confirmed(pairs.distinct(), texts, share, size), "links")
         links = new if links is None else links.union(new)
         labels = stored(components(links), "labels")
