@@ -28,11 +28,13 @@ _made: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this process under spark.checkpoint.dir; a temporary one only where that is unset (tests).
+    """A folder of this process under spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process (tests).
 
     It is deleted when the driver's Python ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = _made.setdefault("", tempfile.mkdtemp(prefix="pagelens-"))
     if root not in _made:

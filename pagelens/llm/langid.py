@@ -98,26 +98,28 @@ def train_languages(
     bits: int = 13,
     sizes: tuple[int, ...] = (1, 2, 3),
     per_language: int = 500,
-    max_languages: int = 500,
+    max_languages: int = 1000,
     epochs: int = 3,
     id_col: str = "doc_id",
 ) -> LanguageModel:
     """Fit on rows (id, text, lang). Null texts, texts without letters and null languages are left out.
 
     Document frequencies are those of all rows. The weights are fitted on about `per_language` rows of each language
-    (the bound of the sample), chosen by a hash of the id; a fifth of it is held back to fit the temperature. Without
-    rows, the model answers `und`.
+    (the bound of the sample, twice that at most), chosen by a hash of id and text; a fifth of it is held back to fit the temperature. Without
+    rows, the model answers `und`. Every language is learnt; more than `max_languages`, which would not fit in memory, are an error.
+    Repeated rows count as often as they occur. Of equal scores the first language in order wins. Extra columns are not read.
     """
     rows = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
-    sizes_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    sizes_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
+    if len(sizes_of) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     languages = sorted(sizes_of)
     df, total = _document_frequencies(rows.select("text"), bits, sizes)
     idf = np.log((1 + total) / (1 + df)) + 1
     if not languages:
         return LanguageModel([], np.zeros(((1 << bits) + 1, 0)), idf, 1.0, bits, sizes)
-    share: Column = F.lit(0)
-    for lang, n in sizes_of.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * per_language / n)))).otherwise(share)
+    limits = {lang: min(1 << 30, int((1 << 30) * per_language / n)) for lang, n in sizes_of.items()}
+    share: Column = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair]), F.col("lang"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -125,8 +127,8 @@ def train_languages(
                 got = [counts(t, bits, sizes) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array([a.astype(np.int32).tobytes() for a, _ in got]), pa.array([n.astype(np.int32).tobytes() for _, n in got])], names=["lang", "h", "at", "n"])
 
-    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 30))
-    sample = rows.select("lang", h.alias("h"), "text").filter(F.col("h") < share).mapInArrow(features, "lang string, h long, at binary, n binary").collect()
+    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), "text", F.lit(11)), F.lit(1 << 30))
+    sample = rows.select("lang", h.alias("h"), "text").filter(F.col("h") < share).mapInArrow(features, "lang string, h long, at binary, n binary").limit(2 * per_language * len(languages)).collect()
     sample.sort(key=lambda r: (r["h"], r["lang"], r["at"], r["n"]))
     xs = [(at := np.frombuffer(r["at"], np.int32), tfidf(at, np.frombuffer(r["n"], np.int32), idf)) for r in sample]
     y = np.array([languages.index(r["lang"]) for r in sample])

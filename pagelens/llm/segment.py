@@ -38,6 +38,40 @@ def uniforms(seed: np.ndarray, a: np.ndarray | int, b: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def _fields(raw: bytes):
+    """(number, value) of the fields of a protocol-buffer message; values are ints or bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        x = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            x |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return x
+
+    while at < len(raw):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind)
+            size = varint() if size is None else size
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+def is_bpe(path: str) -> bool:
+    """Whether a model file says that it was trained by byte-pair encoding (trainer_spec.model_type; unigram if it says nothing)."""
+    with open(path, "rb") as f:
+        spec = next((v for k, v in _fields(f.read()) if k == 2), b"")
+    return next((v for k, v in _fields(spec) if k == 3), 1) == 2
+
+
 class Pieces:
     """A SentencePiece vocabulary with identity normalisation, whose pieces hold the mark only at their start.
 
@@ -56,7 +90,7 @@ class Pieces:
             raise ValueError("a piece holds the mark after its start")
         self.bytes_at = {int(text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         score = np.array([sp.get_score(i) for i in range(n)])
-        ranks = len(usual) > 2 and score[usual].min() < -1000
+        ranks = is_bpe(path)
         self.weight = np.full(n, -np.inf)
         self.weight[usual] = -np.log(np.arange(len(usual)) + 2) if ranks else score[usual]
         self.floor = float(self.weight[usual].min()) - 10
@@ -420,3 +454,49 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, samples: int = 2,
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(c[0])), *(pa.array(x, k) for x, k in zip(c[1:], kinds, strict=True))], names=schema.names)
 
     return docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, schema)
+
+
+_processors: dict = {}
+
+
+def _processor(path: str):
+    import sentencepiece
+
+    if path not in _processors:
+        _processors[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return _processors[path]
+
+
+def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ids (little-endian uint32) of the model's own best segmentation, n_ids, decoded (whether they give the text back).
+
+    One pass, whole texts; null and empty texts have no ids. Repeated rows and null ids are passed through, an empty table gives an
+    empty one, extra columns are not read. A text that holds the mark U+2581 is encoded as the model does and does not decode back.
+    """
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("n_ids", T.LongType()), T.StructField("decoded", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = _processor(model_path)
+        for whole in batches:
+            for b in rows_of(whole):
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                ids = [sp.encode(t) for t in texts]
+                back = [sp.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+                raw = [np.array(x, "<u4").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(raw, pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array(back, pa.bool_())], names=schema.names)
+
+    return docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, schema)
+
+
+def decode(rows: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Per row: id, text of ids (little-endian uint32), of any segmentation. Null ids give a null text, none an empty one; an id that the model lacks is an error."""
+    schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = _processor(model_path)
+        for whole in batches:
+            for b in rows_of(whole, col="ids"):
+                out = [None if x is None else sp.decode(np.frombuffer(x, "<u4").tolist()) for x in b.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string())], names=schema.names)
+
+    return rows.selectExpr(f"`{id_col}` as id", f"`{ids_col}` as ids").mapInArrow(run, schema)

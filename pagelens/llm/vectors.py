@@ -19,11 +19,10 @@ class Tile:
     def __init__(self, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray):
         self.ids, self.copies, self.unit = ids, copies, unit
         self.scale = np.abs(unit).max(axis=1) / 127
-        self.q = np.rint(unit / self.scale[:, None])
+        self.q = np.rint(unit / self.scale[:, None]).astype(np.int8)
         approx = self.q * self.scale[:, None]
         self.size = np.linalg.norm(approx, axis=1) * (1 + 1e-12)
         self.error = np.linalg.norm(unit - approx, axis=1) * (1 + 1e-12) + 1e-14
-        self.f = self.q.astype(np.float32 if unit.shape[1] <= 1000 else np.float64)  # products of int8 add up exactly
         c = unit.sum(axis=0)
         n = np.linalg.norm(c)
         self.center = c / n if n > 0 else unit[0]
@@ -43,7 +42,8 @@ def tile_links(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarr
     """
     if np.arccos(np.clip(a.center @ b.center, -1, 1)) - a.radius - b.radius > np.arccos(threshold) + 1e-6:
         return np.empty(0, np.int64), np.empty(0, np.int64)  # by the triangle inequality of angles
-    product = a.f @ b.f.T
+    exact = np.float32 if a.q.shape[1] <= 1000 else np.float64  # in which sums of products of int8 are exact
+    product = a.q.astype(exact) @ b.q.astype(exact).T
     product *= (a.scale[:, None]).astype(product.dtype)
     product *= b.scale.astype(product.dtype)
     row = a.error * b.size.max()
@@ -77,7 +77,7 @@ def link_vectors(vectors: DataFrame, *, threshold: float = 0.9, block: int = 409
     different vectors, less the tiles that angles rule out.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do vectors of
-    different length. A null id links with nothing (component null, kept). Rows that repeat an id and a vector count
+    different length. Ids must be integers. An empty table gives an empty one. A null id links with nothing (component null, kept). Rows that repeat an id and a vector count
     as rows of their own. Extra columns are not read.
     """
     if not 0 < threshold < 1:
