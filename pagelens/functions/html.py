@@ -1,14 +1,13 @@
-"""Page functions as columns. Texts are squeezed by ASCII white space; the pandas path for full Unicode is visible_text_nfkc."""
+"""Page functions as columns, for the common subset. Whole pages go through functions.scan, which is linear and knows all of Unicode."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from .tables import VOLATILE
+
+# Entities and their signs, in the order in which they are replaced.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"))
 
 
@@ -32,25 +31,11 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def visible_text_nfkc(visible: pd.Series) -> pd.Series:
-    """Compatibility forms composed and all Unicode white space squeezed, for texts that need it."""
-    return visible.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
-
-
-VOLATILE = (
-    r"\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?(?:z|[+-]\d{2}:?\d{2})?",
-    r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-    r"\b[0-9a-f]{16,}\b",
-    r"\b\d{10,19}\b",
-)
-
-
 def normalize_body(html: Column) -> Column:
-    """Visible text in lower case without stamps, ids and long hex."""
+    """Visible text in lower case; stamps, ids and digests become spaces."""
     x = F.lower(visible_text(html))
     for p in VOLATILE:
-        x = F.regexp_replace(x, p, "")
+        x = F.regexp_replace(x, p, " ")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
@@ -60,7 +45,7 @@ def tier(n_visible: Column) -> Column:
 
 def parse_amounts(text: Column) -> Column:
     """Distinct amounts after a currency sign, sorted."""
-    found = F.regexp_extract_all(text, F.lit(r"[$€£¥]\s?(\d[\d,]*(?:\.\d+)?)"), 1)
+    found = F.regexp_extract_all(text, F.lit(r"(?<![\w.])[$€£¥]\s?((?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)"), 1)
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))))
 
 
@@ -76,13 +61,13 @@ def looks_like_html(content_type: Column, body: Column) -> Column:
 
 # Marks of client-side frameworks.
 FRAMEWORKS = (
-    ("next", r"__NEXT_DATA__|/_next/static/"),
-    ("nuxt", r"__NUXT__|/_nuxt/"),
-    ("react_root", r"""id=["'](?:root|app|__next)["']"""),
-    ("angular", r"ng-version="),
-    ("vue", r"data-v-app|data-server-rendered"),
-    ("svelte", r"__sveltekit_|svelte-"),
-    ("gatsby", r"___gatsby"),
+    ("nextjs", r"__NEXT_DATA__|/_next/static/|self\.__next_f"),
+    ("nuxt", r"""id=["']__nuxt["']|window\.__NUXT__"""),
+    ("gatsby", r"""id=["']___gatsby["']"""),
+    ("astro", r"<astro-island"),
+    ("angular", r"\bng-version="),
+    ("react_root", r"data-reactroot"),
+    ("spa_empty_root", r"""<div[^>]+id=["'](?:root|app)["'][^>]*>\s*</div>"""),
 )
 
 

@@ -132,3 +132,107 @@ def drop_last_segment(path: Column) -> Column:
 def path_family(path: Column) -> Column:
     """The first two segments of a path."""
     return F.concat(F.lit("/"), F.array_join(F.slice(path_segments(path), 1, 2), "/"))
+
+
+def source_locus(page: Column, container: Column) -> Column:
+    """Where a link stands: its page and the signature of its container."""
+    return F.concat(page, F.lit("|"), F.coalesce(container, F.lit("")))
+
+
+def sibling_host(host: Column) -> Column:
+    """The host that a page is likely to have moved to: docs, developers and api to www, www and the apex to docs."""
+    h = F.lower(host)
+    rest = F.regexp_replace(h, r"^[^.]*\.", "")
+    return F.when(~F.contains(h, F.lit(".")), None).when(h.rlike(r"^(?:docs|developers|api)\."), F.concat(F.lit("www."), rest)).when(F.startswith(h, F.lit("www.")), F.concat(F.lit("docs."), rest)).otherwise(F.concat(F.lit("docs."), h))
+
+
+def swap_host(url: Column) -> Column:
+    return F.concat(part(url, 1), F.lit("://"), sibling_host(url_host(url)), part(url, 3))
+
+
+def strip_source_prefix(url: Column, source: Column) -> Column:
+    """url without the path of the page that links to it, on the same host; null where it does not start with that."""
+    src, own = path_segments(part(source, 3)), path_segments(part(url, 3))
+    rest = F.concat(F.lit("/"), F.array_join(F.slice(own, F.size(src) + 1, F.greatest(F.size(own) - F.size(src), F.lit(0))), "/"), F.when(F.endswith(part(url, 3), F.lit("/")), "/").otherwise(""))
+    fits = (url_host(url) == url_host(source)) & (F.size(src) > 0) & (F.size(own) > F.size(src)) & (F.slice(own, 1, F.greatest(F.size(src), F.lit(1))) == src)
+    return F.when(fits, with_path(url, rest))
+
+
+def parent_url(url: Column) -> Column:
+    """url without its last segment and query; null where there is only one."""
+    return F.when(F.size(path_segments(part(url, 3))) >= 2, with_path(url, drop_last_segment(part(url, 3))))
+
+
+def markdown_url(url: Column, scope: Column) -> Column:
+    """The Markdown twin of a page: `.md` in place of `.html` in scope HTML_SWAP, else `.md` after the path; index.md at the root."""
+    path = part(url, 3)
+    swapped = F.regexp_replace(path, r"(?i)\.html?$", ".md")
+    plain = F.when(path.isin("", "/"), "/index.md").when(F.lower(path).rlike(r"\.md$"), path).otherwise(F.concat(F.regexp_replace(path, "/+$", ""), F.lit(".md")))
+    return F.concat(part(url, 1), F.lit("://"), part(url, 2), F.when(scope == "HTML_SWAP", F.when(path == "", "/").otherwise(swapped)).otherwise(plain))
+
+
+def same_page(a: Column, b: Column) -> Column:
+    """Whether two URLs are one but for case, query, fragment and trailing slashes."""
+    key = lambda u: F.lower(F.regexp_replace(F.regexp_replace(F.trim(u), r"[?#].*$", ""), "/+$", ""))
+    return key(a) == key(b)
+
+
+# Signs that may trail a URL in running text.
+TRAILING = ".,;:!?)]}'\"`>*_"
+
+
+def comparable(url: Column) -> Column:
+    """The form in which answers' URLs are compared: scheme and host in lower case, no trailing signs, fragment or slash; path and query as they are."""
+    trimmed = F.regexp_replace(F.trim(url), r"[.,;:!?)\]}'\"`>*_]+$", "")
+    bare = F.substring_index(trimmed, "#", 1)
+    full = F.concat(F.lower(F.regexp_extract(bare, "^(.*?)://", 1)), F.lit("://"), F.lower(F.regexp_extract(bare, "^.*?://([^/]*)", 1)), F.regexp_extract(bare, "^.*?://[^/]*(.*)$", 1))
+    return F.regexp_replace(F.when(bare.rlike("^.*?://."), full).otherwise(bare), "/+$", "")
+
+
+def input_hosts(text: Column) -> Column:
+    """(apex, www) of what a user typed: a host or a URL, in any case; null where there is no host."""
+    t = F.trim(text)
+    host = F.regexp_replace(url_host(F.when(F.contains(t, F.lit("//")), t).otherwise(F.concat(F.lit("https://"), t))), r"^\.+|\.+$", "")
+    apex = F.regexp_replace(host, r"^www\.", "")
+    return F.when(host != "", F.struct(apex.alias("apex"), F.concat(F.lit("www."), apex).alias("www")))
+
+
+def valid_page_url(url: Column) -> Column:
+    """Whether a URL can be asked for: http or https, and a host of plain letters."""
+    return F.coalesce(F.lower(part(F.trim(url), 1)).isin("http", "https") & url_host(F.trim(url)).rlike(r"^[a-z0-9.-]+$"), F.lit(False))
+
+
+def capture_key(url: Column, variant: Column | None = None) -> Column:
+    """The key of a capture: the canonical URL, and the Accept variant where there is one."""
+    base, named = F.regexp_replace(F.trim(url), r" \[accept=[a-z]+\]$", ""), F.regexp_extract(F.trim(url), r" \[accept=([a-z]+)\]$", 1)
+    v = F.when(named != "", named)
+    v = v if variant is None else F.coalesce(variant, v)
+    return F.concat(canon_url(base), F.when(v.isNotNull() & (v != ""), F.concat(F.lit(" [accept="), v, F.lit("]"))).otherwise(""))
+
+
+def capture_url(key: Column) -> Column:
+    """(url, variant) of a capture's key."""
+    v = F.regexp_extract(F.trim(key), r" \[accept=([a-z]+)\]$", 1)
+    return F.struct(F.regexp_replace(F.trim(key), r" \[accept=[a-z]+\]$", "").alias("url"), F.when(v != "", v).alias("variant"))
+
+
+def capture_path(url: Column, variant: Column | None = None) -> Column:
+    """Where a capture is stored: host, a slug of the path and eight digits of the key's SHA-1."""
+    key = capture_key(url, variant)
+    parts = capture_url(key)
+    base = parts["url"]
+    raw = F.regexp_replace(part(base, 3), "^/+|/+$", "")
+    raw = F.when(part(base, 4) != "", F.when(raw != "", F.concat(raw, F.lit("-q"))).otherwise("index-q")).otherwise(raw)
+    slug = F.regexp_replace(F.regexp_replace(F.translate(raw, "/", "-"), r"[^A-Za-z0-9._-]+", "-"), "^-+|-+$", "")
+    slug = F.regexp_replace(F.substring(F.when(slug != "", slug).otherwise("index"), 1, 80), "^-+|-+$", "")
+    host = F.when(part(base, 2) != "", part(base, 2)).otherwise("_nohost")
+    suffix = F.when(parts["variant"].isNotNull(), F.concat(F.lit("-accept-"), parts["variant"])).otherwise("")
+    return F.concat(F.lit("snapshots/"), host, F.lit("/"), F.when(slug != "", slug).otherwise("index"), suffix, F.lit("-"), F.substring(F.sha1(F.encode(key, "utf-8")), 1, 8))
+
+
+def control_url(url: Column, token: Column) -> Column:
+    """A URL beside `url` that cannot exist, with the extension of its last segment. The token is given, so that a run can be repeated."""
+    path = part(url, 3)
+    last = F.regexp_extract(path, "[^/]*$", 0)
+    ext = F.when(F.contains(last, F.lit(".")), F.concat(F.lit("."), F.substring_index(last, ".", -1))).otherwise("")
+    return F.concat(part(url, 1), F.lit("://"), part(url, 2), F.regexp_replace(path, "/[^/]*$", ""), F.lit("/control-probe-"), F.substring(F.sha2(token.cast("string"), 256), 1, 24), ext)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 # Suffixes of preview hosts, and marks in a host's name of what should not be public.
-PREVIEW_SUFFIXES = (".vercel.app", ".netlify.app", ".pages.dev", ".herokuapp.com", ".gitbook.io", ".readthedocs.io", ".github.io")
+PREVIEW_SUFFIXES = (".pages.dev", ".vercel.app", ".netlify.app", ".workers.dev", ".onrender.com", ".herokuapp.com", ".surge.sh", ".fly.dev", ".railway.app", ".gitbook.io", ".readthedocs.io", ".github.io")
 NOT_PUBLIC = ("internal", "staging", "preview", "sandbox", "test", "uat", "qa-", "-qa")
 
 
@@ -21,7 +21,7 @@ def canonical_relation(canonical: Column, page: Column) -> Column:
 def delivery_hint(headers: Column) -> Column:
     h = lambda k: F.lower(F.coalesce(F.try_element_at(headers, F.lit(k)), F.lit("")))
     age = F.trim(h("age"))
-    cached = h("x-vercel-cache").isin("hit", "prerender", "stale") | h("x-nextjs-cache").isin("hit", "prerender", "stale") | F.map_contains_key(headers, "x-nextjs-prerender") | (h("cf-cache-status") == "hit") | (age.rlike(r"^\d+$") & ~age.rlike("^0+$"))
+    cached = h("x-vercel-cache").isin("hit", "prerender", "stale") | h("x-nextjs-cache").isin("hit", "prerender", "stale") | F.coalesce(F.map_contains_key(headers, "x-nextjs-prerender"), F.lit(False)) | (h("cf-cache-status") == "hit") | (age.rlike(r"^\d+$") & ~age.rlike("^0+$"))
     return F.when(cached, "prerendered_or_cached").when(h("cache-control").rlike("no-store|private|no-cache"), "dynamic")
 
 

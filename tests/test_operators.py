@@ -100,15 +100,6 @@ def test_grades(spark, dead, alive, want):
     assert spark.range(1).select(L.grade(F.lit(dead), F.lit(alive))).first()[0] == want
 
 
-def test_robots():
-    g = B.parse_robots("﻿User-agent: A\nUser-Agent: b # note\nDisallow: /x\nAllow: /x/*.txt$\n\nUser-agent: *\nDisallow: /\nSitemap: s\nUser-agent: c\nDisallow:\nUser-agent: msnbot\nDisallow: /m")
-    assert not B.allowed(g, "a", "/x/y") and B.allowed(g, "B", "/x/y.txt") and not B.allowed(g, "a", "/x/y.txt?")
-    assert not B.allowed(g, "zzz", "/q") and B.allowed(g, "zzz", "/robots.txt") and B.allowed(g, "C", "/q")
-    assert not B.allowed(g, "Bingbot", "/m/1") and B.allowed(g, "Bingbot", "/q")
-    assert B.matches("/a*b*c$", "/aXbYc") and not B.matches("/a*b*c$", "/aXbYcd") and B.matches("/a*", "/a") and not B.matches("/ab$", "/abc") and not B.matches("*aa$", "a")
-    assert B.matches("/" + "*a" * 50, "/" + "a" * 60) and not B.matches("/" + "*a" * 50 + "*b", "/" + "a" * 100_000)
-
-
 def test_unreadable_robots_stay_unknown(spark):
     df = spark.createDataFrame([("h", None, False)], "host string, robots string, readable boolean")
     assert {r["allowed"] for r in B.judge_robots(df).collect()} == {None}
