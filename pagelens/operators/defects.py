@@ -123,29 +123,38 @@ def cause_report(members: DataFrame) -> DataFrame:
     return r.select("site", "cause", "cause_id", "defect", "n_targets", "n_instances", "severity", "n_pages", text.alias("summary")).orderBy(F.desc("n_instances"), F.desc("severity"), "cause_id")
 
 
-def nearest_pages(dead: DataFrame, sitemap: DataFrame, most: int = NEAR) -> DataFrame:
-    """For each norm_url of dead the page of a sitemap (url) whose last segment is nearest, at most `most` edits away.
+def near_strings(words: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """(last, near, edits) of words (last) and names (near) at most `most` edits apart.
 
-    Exact segments first, then fewest edits, most shared leading segments, the URL. Candidates are found by pigeonhole: two strings
-    within k edits share one of k + 1 pieces of the one, at most k places away in the other, so no pair of all is made.
+    Candidates are found by pigeonhole: of most + 1 pieces of a word, one at least stands unchanged in the name, at most `most`
+    places away. So the join is on pieces, and no pair of all is made.
     """
-    pieces = lambda s: F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("piece"), F.substring(s, (F.floor(i * F.char_length(s) / (most + 1)) + 1).cast("int"), (F.floor((i + 1) * F.char_length(s) / (most + 1)) - F.floor(i * F.char_length(s) / (most + 1))).cast("int")).alias("text")))
-    d = dead.select("norm_url", F.lower(_last(U.part(F.col("norm_url"), 3))).alias("last"), U.path_segments(U.part(F.col("norm_url"), 3)).alias("own"), U.part(F.col("norm_url"), 3).alias("own_path")).filter("last is not null").distinct()
-    s = sitemap.select("url").distinct().select("url", F.lower(_last(U.part(F.col("url"), 3))).alias("near"), U.path_segments(U.part(F.col("url"), 3)).alias("their"), U.part(U.normalize_url(F.col("url")), 3).alias("their_path")).filter("near is not null")
-    names = s.select("near").distinct()
     short = most + 1
-    left = d.select("last").distinct().select("last", F.explode(pieces(F.col("last"))).alias("p")).select("last", F.col("p.piece").alias("piece"), F.col("p.text").alias("text"), (F.floor(F.col("p.piece") * F.char_length("last") / short) + 1).alias("at"))
-    # every substring of a name that a piece could be: same length as a piece of some length of word, near its place
-    size = F.col("l")
-    spots = names.select("near", F.explode(F.sequence(F.greatest(F.char_length("near") - most, F.lit(1)), F.char_length("near") + most)).alias("l"))
+    cut = lambda i, n: F.floor(i * n / short)
+    n = F.char_length("last")
+    left = words.select("last").distinct().select("last", n.alias("l"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("piece"))
+    left = left.select("last", "l", "piece", F.expr(f"substring(last, cast(floor(piece * l / {short}) + 1 as int), cast(floor((piece + 1) * l / {short}) - floor(piece * l / {short}) as int))").alias("text"))
+    # of a name all substrings that a piece of a word of length l could be
+    spots = names.select("near").distinct().select("near", F.explode(F.sequence(F.greatest(F.char_length("near") - most, F.lit(1)), F.char_length("near") + most)).alias("l"))
     spots = spots.select("near", "l", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("piece"))
-    start, end = F.floor(F.col("piece") * size / short) + 1, F.floor((F.col("piece") + 1) * size / short) + 1
+    start, end = cut(F.col("piece"), F.col("l")) + 1, cut(F.col("piece") + 1, F.col("l")) + 1
     spots = spots.select("near", "l", "piece", (end - start).alias("n"), F.explode(F.sequence(F.greatest(start - most, F.lit(1)), start + most)).alias("at"))
-    right = spots.select("near", "l", "piece", F.expr("substring(near, cast(at as int), cast(n as int))").alias("text"), "n").filter(F.char_length("text") == F.col("n")).distinct()
-    pairs = left.withColumn("l", F.char_length("last")).join(right, ["l", "piece", "text"]).select("last", "near").distinct()
-    pairs = pairs.withColumn("edits", F.levenshtein("last", "near", most)).filter("edits >= 0")
-    j = d.join(pairs, "last").join(s, "near").filter("own_path <> their_path")
-    shared = F.aggregate(F.arrays_zip("own", "their"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda acc, z: F.struct((acc["n"] + F.when(acc["go"] & F.coalesce(z["own"] == z["their"], F.lit(False)), 1).otherwise(0)).alias("n"), (acc["go"] & F.coalesce(z["own"] == z["their"], F.lit(False))).alias("go")), lambda acc: acc["n"])
+    right = spots.select("near", "l", "piece", F.expr("substring(near, cast(at as int), cast(n as int))").alias("text"), "n").filter(F.char_length("text") == F.col("n")).drop("n").distinct()
+    pairs = left.join(right, ["l", "piece", "text"]).select("last", "near").distinct()
+    return pairs.withColumn("edits", F.levenshtein("last", "near", most)).filter("edits >= 0")
+
+
+def nearest_pages(dead: DataFrame, sitemap: DataFrame, most: int = NEAR) -> DataFrame:
+    """For each norm_url of dead the page of a sitemap (url) whose last segment is nearest, at most `most` edits away.
+
+    Exact segments first, then fewest edits, most shared leading segments, the URL. Candidates come from `near_strings`.
+    """
+    own_path = U.part(F.col("norm_url"), 3)
+    d = dead.select("norm_url", F.lower(_last(own_path)).alias("last"), U.path_segments(own_path).alias("own"), own_path.alias("own_path")).filter("last is not null").distinct()
+    s = sitemap.select("url").distinct().select("url", F.lower(_last(U.part(F.col("url"), 3))).alias("near"), U.path_segments(U.part(F.col("url"), 3)).alias("their"), U.part(U.normalize_url(F.col("url")), 3).alias("their_path")).filter("near is not null")
+    j = d.join(near_strings(d, s, most), "last").join(s, "near").filter("own_path <> their_path")
+    same = lambda acc, z: acc["go"] & F.coalesce(z["own"] == z["their"], F.lit(False))
+    shared = F.aggregate(F.arrays_zip("own", "their"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda acc, z: F.struct((acc["n"] + F.when(same(acc, z), 1).otherwise(0)).alias("n"), same(acc, z).alias("go")), lambda acc: acc["n"])
     best = F.min(F.struct((F.col("edits") > 0).alias("other"), "edits", (-shared).alias("shared"), "url"))
     return j.groupBy("norm_url").agg(best.alias("b")).select("norm_url", F.col("b.url").alias("nearest"), F.col("b.edits").alias("edits"))
 

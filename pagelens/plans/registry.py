@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import site_queries, robots_queries, table_queries  # noqa: E402, F401  they fill the two dictionaries
+from . import audit_queries, site_queries, robots_queries, table_queries  # noqa: E402, F401  they fill the two dictionaries

@@ -63,16 +63,3 @@ def hourly_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.captures import hourly
 
     return hourly(table(spark, sf_dir, "events"))
-
-
-@query("""WITH a AS (SELECT p_partkey, p_name, p_brand FROM part WHERE p_size = 1), b AS (SELECT p_partkey AS other_key, p_name AS other_name, p_brand FROM part WHERE p_size = 2),
-c AS (SELECT p_partkey, other_key, levenshtein(p_name, other_name) AS distance, row_number() OVER (PARTITION BY p_partkey ORDER BY levenshtein(p_name, other_name), other_key) AS r FROM a JOIN b USING (p_brand) WHERE abs(length(p_name) - length(other_name)) <= 8 AND levenshtein(p_name, other_name) <= 8)
-SELECT p_partkey, other_key, distance::BIGINT AS distance FROM c WHERE r = 1""")
-def nearest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest name within a band of edit distance in the same block: an equi-join with a residual, then a min."""
-    part = table(spark, sf_dir, "part")
-    a = part.filter("p_size = 1").select("p_partkey", "p_name", "p_brand")
-    b = part.filter("p_size = 2").select(F.col("p_partkey").alias("other_key"), F.col("p_name").alias("other_name"), "p_brand")
-    near = F.levenshtein("p_name", "other_name", 8)
-    c = a.join(b, "p_brand").filter(F.abs(F.char_length("p_name") - F.char_length("other_name")) <= 8).withColumn("d", near).filter("d >= 0")
-    return c.groupBy("p_partkey").agg(F.min(F.struct("d", "other_key")).alias("m")).select("p_partkey", F.col("m.other_key").alias("other_key"), F.col("m.d").cast("long").alias("distance"))

@@ -193,7 +193,7 @@ def resolve_hosts(hosts: DataFrame, answers: DataFrame, order: Iterable[str] = (
     a = answers.withColumn("_rank", rank).withColumn("_bad", F.when(F.col("address").isNotNull(), bogus_address(F.col("address"))))
     good = a.filter("address is not null and not _bad").groupBy("host", "_rank", "resolver").agg(F.array_sort(F.collect_set("address")).alias("addresses"))
     first = good.groupBy("host").agg(F.min(F.struct("_rank", "resolver", "addresses")).alias("g"))
-    rest = a.groupBy("host").agg(F.bool_or((F.col("_rank") == 0) & F.coalesce("_bad", F.lit(False))).alias("_fooled"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "resolver", "error"))), "; ").alias("_errors"))
+    rest = a.groupBy("host").agg(F.bool_or((F.col("_rank") == 0) & F.coalesce("_bad", F.lit(False))).alias("_fooled"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.concat_ws(" ", "resolver", "error")))), "; ").alias("_errors"))
     j = hosts.select(F.lower(F.regexp_replace("host", r"^\.+|\.+$", "")).alias("host")).distinct().join(first, "host", "left").join(rest, "host", "left")
     ok = F.col("g").isNotNull()
     return j.select("host", ok.alias("ok"), F.coalesce("g.addresses", F.array().cast("array<string>")).alias("addresses"), F.coalesce("g.resolver", F.lit("none")).alias("resolver"), (~ok & F.coalesce("_fooled", F.lit(False))).alias("poisoned"), F.when(~ok, F.coalesce(F.nullif(F.col("_errors"), F.lit("")), F.lit("resolve failed"))).alias("error"))
