@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .linear import SoftmaxFTRL, softmax, temperature
 
 # Opening, granting and notice sentences of public licences, by family. {year} and {name} stand for what varies.
@@ -277,11 +277,12 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.5, agree: float = 0.6, id
     filled = lambda x: x.rlike("[a-z0-9]")
     reach = F.struct(_reach(most, lambda x: filled(x) & ~x.rlike(gate), -1).alias("lo"), _reach(most, filled, 1).alias("hi"))
     around = _bound(reach, lambda r: F.struct(r["lo"].alias("lo"), F.slice("ls", r["lo"] + 1, r["hi"] - r["lo"] + 1).alias("near")))
-    lines = stored(lines.select("id", "row", "at", "line", F.when(F.col("wrapped"), around).alias("c")), "licence-lines")
-    lines = lines.select("id", "row", "at", "line", F.col("c.lo").alias("lo"), F.col("c.near").alias("near"))
+    kept = stored(lines.select("id", "row", "at", "line", F.when(F.col("wrapped"), around).alias("c")), "licence-lines")
+    lines = kept.select("id", "row", "at", "line", F.col("c.lo").alias("lo"), F.col("c.near").alias("near"))
     # what all lines together do not hold, no part of them holds
     may = _bound(F.array_intersect(known, _grams_of(F.array_join("near", " "))), lambda held: F.exists(shapes, lambda s: share(s, held) >= agree))
     found = stored(lines.withColumn("near", F.when((F.size("near") > 1) & may, F.col("near"))), "licences")
+    discard(kept)
     ends = found.filter("near is not null").select("id", "row", "at", "lo", "near", F.explode(F.sequence("lo", "at")).alias("s"))
     ends = ends.select("*", F.explode(F.sequence("at", F.col("lo") + F.size("near") - 1)).alias("e")).filter("e > s")
     several = ends.select("id", "row", "s", "e", F.array_join(F.slice("near", F.col("s") - F.col("lo") + 1, F.col("e") - F.col("s") + 1), " ").alias("line"))
