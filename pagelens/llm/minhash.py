@@ -156,11 +156,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, share: tuple[int, int], size:
 def _join_by_key(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with one row a key, without dealing a hot key's rows to one task.
 
-    Keys with more than a 2000th of all rows (`size` tells) are 2000 at most; their rows of groups are broadcast. The others go through a plain join.
+    Keys with more than a 2000th of all rows (`size` tells) are 2000 at most; their rows of groups are broadcast. The others go through a plain
+    join, whatever their size, so that small tables show what large ones do.
     """
     most = max(1000, total // 2000)
     hot = F.broadcast(groups.filter(F.col(size) > most).drop(size))
-    cold = groups.filter(F.col(size) <= most).drop(size)
+    cold = groups.filter(F.col(size) <= most).drop(size).hint("merge")
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how), allowMissingColumns=True)
 
 
@@ -213,8 +214,8 @@ def near_duplicates(
         every = False
         if turn:
             at = at.drop("comp").join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("comp", F.coalesce("component", "b")).drop("component")
-            mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-            at = stored(at.join(mixed, "key"), "mixed")
+            mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+            at = stored(_join_by_key(at, stored(mixed, "mixed-keys"), ["key"], "size", n_keyed), "mixed")
             split = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"), F.sum("m").alias("m"))
             left = split.agg(F.sum("p").alias("p"), F.sum("m").alias("m")).first()
             if not left["p"]:
