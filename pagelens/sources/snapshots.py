@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..session import with_checkpoints
 
 HEADER = (
     "url string, canon_url string, accept_variant string, status int, headers map<string,string>, body_bytes long, stored_bytes long, body_file string,"
@@ -37,21 +38,25 @@ def fresh(cache: DataFrame, now: Column) -> DataFrame:
 def follow_redirects(headers: DataFrame, hops: int = 10) -> DataFrame:
     """From each canon_url to where its chain of stored single hops ends.
 
-    Columns: url, final_url, status (0 where the chain loops, is too long or leaves what is stored), n_hops, reason. A
-    bounded number of equi-joins; chains that have ended take no part in later ones.
+    Columns: url, final_url, status (0 where the chain loops, is too long or leaves what is stored), n_hops, reason. Each
+    hop is one equi-join of the chains that are still open, whose result is checkpointed, so that the plan does not
+    grow with the hops; it ends when none is open.
     """
+    with_checkpoints(headers.sparkSession)
     h = headers.filter("accept_variant is null").withColumn("location", F.try_element_at("headers", F.lit("location")))
     h = h.groupBy("canon_url").agg(F.max(F.struct("recorded_at", "status", "location")).alias("r")).select("canon_url", "r.status", "r.location")
     moved = F.col("status").between(300, 399) & F.col("location").isNotNull()
-    step = h.select(F.col("canon_url").alias("here"), "status", F.when(moved, U.canon_url(U.resolve(F.col("canon_url"), F.col("location")))).alias("next"))
-    open_ = step.select(F.col("here").alias("url"), "here", "status", "next", F.array("here").alias("seen"))
-    done = open_.filter("next is null").select("url", F.col("here").alias("final_url"), "status", F.lit(0).alias("n_hops"), F.lit("ok").alias("reason"))
-    open_ = open_.filter("next is not null")
+    step = h.select(F.col("canon_url").alias("here"), "status", F.when(moved, U.canon_url(U.resolve(F.col("canon_url"), F.col("location")))).alias("next")).checkpoint()
+    end = lambda df, final, status, n, reason: df.select("url", final.alias("final_url"), status.cast("int").alias("status"), F.lit(n).alias("n_hops"), reason.alias("reason"))
+    done = end(step.filter("next is null").withColumn("url", F.col("here")), F.col("here"), F.col("status"), 0, F.lit("ok"))
+    open_ = step.filter("next is not null").select(F.col("here").alias("url"), F.col("next").alias("at"), F.array("here").alias("seen"))
     for n in range(1, hops + 1):
-        loop = open_.filter(F.array_contains("seen", F.col("next"))).select("url", F.col("next").alias("final_url"), F.lit(0).alias("status"), F.lit(n).alias("n_hops"), F.lit("redirect_loop").alias("reason"))
-        j = open_.filter(~F.array_contains("seen", F.col("next"))).select("url", "seen", F.col("next").alias("at")).join(step.withColumnRenamed("here", "at"), "at", "left")
-        lost = j.filter("status is null").select("url", F.col("at").alias("final_url"), F.lit(0).alias("status"), F.lit(n).alias("n_hops"), F.lit("not_fetched").alias("reason"))
-        ended = j.filter("status is not null and next is null").select("url", F.col("at").alias("final_url"), "status", F.lit(n).alias("n_hops"), F.lit("ok").alias("reason"))
-        done = done.unionByName(loop).unionByName(lost).unionByName(ended)
-        open_ = j.filter("next is not null").select("url", F.col("at").alias("here"), "status", "next", F.concat("seen", F.array("at")).alias("seen"))
-    return done.unionByName(open_.select("url", F.col("next").alias("final_url"), F.lit(0).alias("status"), F.lit(hops).alias("n_hops"), F.lit("too_many_redirects").alias("reason")))
+        j = open_.withColumn("loop", F.array_contains("seen", F.col("at"))).join(step.withColumnRenamed("here", "at"), "at", "left").checkpoint()
+        reason = F.when(F.col("loop"), "redirect_loop").when(F.col("status").isNull(), "not_fetched").when(F.col("next").isNull(), "ok")
+        j = j.withColumn("reason", reason)
+        over = j.filter("reason is not null")
+        done = done.unionByName(end(over, F.col("at"), F.when(F.col("reason") == "ok", F.col("status")).otherwise(0), n, F.col("reason")))
+        open_ = j.filter("reason is null").select("url", F.col("next").alias("at"), F.concat("seen", F.array("at")).alias("seen"))
+        if open_.isEmpty():
+            return done
+    return done.unionByName(end(open_, F.col("at"), F.lit(0), hops, F.lit("too_many_redirects")))
