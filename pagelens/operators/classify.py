@@ -97,3 +97,77 @@ def second_ruler(responses: DataFrame) -> DataFrame:
     ok, other = F.col("status").between(200, 299), F.col("star_status").between(200, 299)
     differ = F.col("star_status").isNotNull() & ((ok != other) | (ok & other & (F.col("is_html") != F.col("star_html"))))
     return r.withColumn("accept_negotiated", F.coalesce(differ, F.lit(False)))
+
+
+# What a failed transport says of itself, in the order in which it is asked.
+TRANSPORT_REASONS = (
+    ("robots_unreadable", r"^robots_unreadable"),
+    ("robots_disallowed", r"^robots_disallowed"),
+    ("dns_unresolved", r"resolve|nodename|name or service|servfail"),
+    ("dns_poisoned", r"poison|private-ip"),
+    ("timeout", r"timeout|timed out"),
+    ("too_many_redirects", r"too many redirects|maximum redirects"),
+    ("redirect_loop", r"redirect loop"),
+)
+LEAST_TAGS = 30
+
+
+def classify_full(responses: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """The whole decision list over responses: those of `classify_responses` and transport_error, robots_disallowed; expect is text, html or any.
+
+    Pages are read once, by the linear scanners (extract.page_record). profiles are those of channel.host_profiles. Beyond `classify_responses` it knows failed
+    transport by kind, robots, 5xx of hosts hostile to bots, pages with the skeleton of the control or nearly its text, and pages that need scripts.
+    A near text is only compared where status and type agree and nothing before has decided. Adds verdict, reason, needs_js and the record p.
+    """
+    from .extract import page_record, similarity
+
+    r = responses.withColumn("host", U.url_host(F.col("url"))).withColumn("p", page_record(F.col("body"), F.col("content_type")))
+    if profiles is None:
+        kinds = (("usable", "boolean"), ("discriminates", "boolean"), ("control_html", "boolean"), ("control_status", "int"), ("control_type", "string"), ("control_norm", "string"), ("control_sha256", "string"), ("control_skeleton", "string"), ("control_tags", "long"))
+        r = r.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds])
+    else:
+        r = r.join(profiles, "host", "left")
+    truth = lambda c: F.coalesce(c, F.lit(False))
+    s, ok, expect = F.col("status"), F.col("status").between(200, 299), F.col("expect")
+    html = looks_like_html(F.col("content_type"), F.col("body"))
+    norm, needs = F.col("p.norm"), truth(F.col("p.needs_js"))
+    window = F.when(F.char_length(norm) <= 512, norm).otherwise(F.substring(norm, 1, 400))
+    final, path = U.part(F.coalesce("final_url", "url"), 3), U.part(F.col("url"), 3)
+    landed = F.regexp_replace(final, "(?<=.)/$", "")
+    error = F.lower(F.coalesce("transport_error", F.lit("")))
+    failed = s.isNull() | (s == 0)
+    controlled = F.col("usable").isNotNull()
+    tells = truth(F.col("discriminates")) | ((expect == "text") & truth(F.col("control_html")))
+    same = truth((F.char_length(norm) >= 200) & (F.col("p.norm_sha256") == F.col("control_sha256"))) | truth((F.col("p.n_tags") >= LEAST_TAGS) & (F.col("control_tags") >= LEAST_TAGS) & (F.col("p.skeleton_sha256") == F.col("control_skeleton")))
+    kind = F.lower(F.trim(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
+    before = (
+        (~truth(F.coalesce("observed", F.lit(True))), "unknown", "not_fetched"),
+        (truth(F.col("robots_disallowed")), "unknown", "robots_disallowed"),
+        *[(failed & error.rlike(p), "unknown", reason) for reason, p in TRANSPORT_REASONS],
+        (failed, "unknown", "network_error"),
+        (challenge_header(F.col("headers")), "blocked", "challenge_header"),
+        (challenge_body(s, F.col("body"), F.col("p.n_visible")), "blocked", "challenge_body"),
+        (s == 429, "blocked", "rate_limited"),
+        (s.isin(401, 403) & path.rlike(T.LOGIN_PATH), "blocked", "login_required"),
+        (s.isin(*T.BLOCKED_STATUSES) | ((s == 400) & F.col("host").isin(*T.HOSTILE_400_HOSTS)), "blocked", "waf_status"),
+        (s == 404, "real404", "status_404"),
+        (s == 410, "real404", "status_410"),
+        (s.isin(*T.SERVER_ERRORS), "unknown", "server_error"),
+        (truth(F.col("truncated")) & ~(ok & truth(F.col("usable") & F.col("discriminates"))), "unknown", "body_truncated"),
+        ((expect == "text") & html, "soft404", "html_where_text_expected"),
+        (_any(F.substring("body", 1, 8000), T.PLATFORM_MISSING), "soft404", "platform_deployment_missing"),
+        (_any(window, T.NOTFOUND_COPY), "soft404", "notfound_copy_in_body"),
+        ((final != path) & landed.isin("", "/"), "soft404", "redirect_to_site_root"),
+        ((final != path) & landed.isin(*T.LANDING_PATHS), "soft404", "redirect_to_generic_landing"),
+        (controlled & ~truth(F.col("usable")), "unknown", "control_unavailable"),
+        (controlled & tells & (expect == "html") & needs, "unknown", "needs_js"),
+        (controlled & tells, "ok", "ok_control_discriminates"),
+        (controlled & same, "soft404", "identical_to_control"),
+    )
+    r = r.withColumn("_v", first_match(*before))
+    maybe = F.col("_v").isNull() & controlled & truth(s == F.col("control_status")) & truth(kind == F.col("control_type"))
+    r = r.withColumn("_near", similarity(F.when(maybe, norm), F.when(maybe, F.col("control_norm"))))
+    rest = first_match((F.col("_near") > 0.9, "soft404", "near_identical_to_control"), ((expect == "html") & html & needs, "unknown", "needs_js"), (~ok, "unknown", "unexpected_status"), (F.lit(True), "ok", "ok"))
+    v = F.coalesce("_v", rest)
+    keep = [c for c in responses.columns if c not in ("host", "p")]
+    return r.select(*keep, "host", v["verdict"].alias("verdict"), v["reason"].alias("reason"), (v["reason"] == "needs_js").alias("needs_js"), "p")

@@ -22,7 +22,7 @@ from ..sinks import report as S
 from ..sources import replay as R
 from ..sources import snapshots as N
 from .registry import query, table
-from .site_queries import _LINKS, _VISIBLE, links_of
+from .site_queries import _LINKS, _VERDICT, _VISIBLE, links_of, responses_of
 
 _PARTS = r"""u AS (SELECT page_id, url, html, regexp_extract(url, '^([^:/?#]+)://', 1) AS scheme, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS qs FROM pages)"""
 
@@ -303,3 +303,12 @@ def gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = l.select(F.col("doc_id").cast("string").alias("id"), F.when(F.when(dead, k > 0).otherwise(k == 0), "dead").otherwise("alive").alias("state"), F.lit("").alias("final_rule"))
     s = G.score_labels(rows, said)
     return s.select("n_candidates", "n_true_dead", "n_pred_dead", F.size("fp").cast("long").alias("n_fp"), F.size("fn").cast("long").alias("n_fn"), "fp_rate", "recall")
+
+
+@query(f"WITH {_VERDICT} SELECT page_id, verdict, reason FROM s")
+def full_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole decision list, by one Arrow pass a page, over the same synthetic responses as response_verdicts."""
+    from ..operators.classify import classify_full
+
+    r = responses_of(spark, sf_dir).withColumn("transport_error", F.lit(None).cast("string")).withColumn("robots_disallowed", F.lit(False))
+    return classify_full(r).select("page_id", "verdict", "reason")
