@@ -249,7 +249,8 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.5, agree: float = 0.6, id
     at in texts with enough words of a template for it to be confirmed at all (`notice_words`). Both follow from the model and the templates and lose nothing.
     The main path is made of DataFrame operations: one scan, a join with the broadcast weights (bounded by the
     templates), a sum by paragraph. Null and empty texts have no rows; repeated rows are scanned each; a null id is
-    passed through.
+    passed through. An empty table gives an empty one; extra columns are not read. Of equal scores the first class in order wins. A line is
+    read whole, however long.
     """
     model = train_licenses()
     weights, bias, classes, t = model

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,14 +23,17 @@ _MARK = "`"
 _L, _N, _W = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
 _PRETOKEN = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^{_L}{_N}{_W}]+")
 _BEYOND = re.compile("[\u0130\u0180-\U0010ffff]")
+# The rules of tokenizers whose texts may be cut that way, as their files state them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 _encoders: dict = {}
 
 
 class Encoder:
     """A tokenizer whose ids of pre-tokens (of words, in other alphabets) are kept, up to `limit` of them.
 
-    Only for tokenizers that lower-case, drop white space and split by the pattern of word_bpe_49k.json, so that a
-    text's ids are those of its parts. Texts that may hold an added token (<|endoftext|>) are encoded whole.
+    Parts are only kept for tokenizers that lower-case, drop white space and split by the pattern of word_bpe_49k.json, so that
+    a text's ids are those of its parts. Texts that may hold an added token (<|endoftext|>), and all texts of tokenizers with other rules, are encoded whole.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -39,11 +43,14 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # in any case, as an added token may be sought in the normalised text
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
-        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        rules = json.loads(self.tokenizer.to_str())
+        self.whole = rules["normalizer"] != _NORMALIZER or (rules["pre_tokenizer"] or {}).get("pretokenizers", [None])[0] != _SPLIT
+        if not self.whole:
+            (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text as little-endian uint32."""
-        if self.added and self.added.search(text):
+        if self.whole or (self.added and self.added.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         if text.isascii() or not _BEYOND.search(text):
             words = _PRETOKEN.findall(text.lower())

@@ -121,8 +121,8 @@ def scan_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, spans (array of kind, start, end, score) and, with_text, the redacted text.
 
     One pass without a shuffle; each text is read whole. Null and empty texts have no spans (a null text stays
-    null when redacted). Repeated rows and null ids are passed through. Memory is bounded by a few MB of text
-    and the longest text.
+    null when redacted). Repeated rows and null ids are passed through, an empty table gives an empty one, other columns are
+    not read. Ties of start are in the order of KINDS. Memory is bounded by a few MB of text and the longest text.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("spans", T._parse_datatype_string(SPANS))])
     if with_text:

@@ -435,7 +435,8 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, samples: int = 2,
     each set of segmentations left, the exact maximum of its perturbed weights: it pops the best set, draws its best
     segmentation and parts the rest by the first word that differs. Draws depend on the row's id and the seed alone,
     never on how rows are dealt. Null and empty texts have one sample, without ids. Rows that repeat an id and a text
-    get the same samples; a null id is a key like others. Memory follows a few MB of text or the longest text.
+    get the same samples; a null id is a key like others. An empty table gives an empty one, extra columns are not read. A text that
+    holds the mark itself is segmented as it stands and does not decode back (decoded is false). Memory follows a few MB of text or the longest text.
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("sample", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("n_ids", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("log_prob", "perturbed", "inclusion")] + [T.StructField("decoded", T.BooleanType())])

@@ -90,3 +90,14 @@ def test_added_tokens_have_their_ids(spark):
     assert [e.encode(t).tolist() for t in texts] == ids
     got = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
     assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in got} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
+def test_tokenizers_with_other_rules_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    for name, whole in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        path = public_tokenizers.path(name)
+        mine, plain = Encoder(path), Tokenizer.from_file(path)
+        assert mine.whole is whole
+        for text in ("Hello World's ` mark 12 über", "a <|endoftext|> b", "", "Ünïcode 中文 text " * 5):
+            assert mine.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
