@@ -3,6 +3,10 @@
 Each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs. All but the last return the columns of `documents`. Decisions are per row: where ids are null or
 repeated, a stage that drops documents numbers its rows first (which stores them once more).
+
+Null and empty texts score 0 in the first stage and go; no later one sees them there, but each takes them: they are equal to each other
+in the second, link with nothing in the third, stay as they are in the fourth and pack as one end id in the fifth. Of repeated rows the second
+keeps one. Empty tables stay empty, further columns are kept by all stages but the last. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -64,12 +68,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each span of personal data replaced by its kind; n_chars follows the text."""
+    """All documents, repeated rows too, with each span of personal data replaced by its kind; n_chars follows the text."""
     return pii.mask_pii(docs, count_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens; rows that repeat an id are packed each. Only id and text are read."""
     path = TOKENIZER
     if path is None:
         import public_tokenizers
