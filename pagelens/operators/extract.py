@@ -15,7 +15,7 @@ from . import pages as P
 
 RECORD = (
     "struct<visible:string,norm:string,n_visible:long,n_raw:long,norm_sha256:string,skeleton_sha256:string,n_tags:long,needs_js:boolean,js_confidence:string,"
-    "js_signals:array<string>,title:string,h1s:array<string>,description:string,canonical:string,noindex:boolean,hreflang:array<string>,schema_types:array<string>,"
+    "js_signals:array<string>,title:string,title_source:string,h1s:array<string>,description:string,canonical:string,noindex:boolean,hreflang:array<string>,schema_types:array<string>,"
     "schema_broken:long,prices:array<string>,amounts:array<double>,prices_not_shown:array<string>>"
 )
 ANCHOR = (
